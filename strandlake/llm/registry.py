@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import metric_join, secrets, simhash, topk
 
 
 def queries() -> dict:
-    return {"op10_simhash": simhash.op10_simhash}
+    return {
+        "op1_topk": topk.op1_topk,
+        "op3_secrets": secrets.op3_secrets,
+        "op6_metric_join": metric_join.op6_metric_join,
+        "op10_simhash": simhash.op10_simhash,
+    }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op1_topk": topk.OP1_SQL, "op6_metric_join": metric_join.OP6_SQL}
