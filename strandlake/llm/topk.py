@@ -39,13 +39,17 @@ def unpacked(data: bytes, kind: str, n: int) -> np.ndarray:
 
 
 def products(m: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact integer products m @ q.T, as floats' matrix product where that is exact."""
+    """Exact integer products m @ q.T, as floats' matrix product where that is exact, held to a long."""
     if not m.size or not q.size:
         return np.zeros((len(m), len(q)), dtype=np.int64)
     if float(np.abs(m).max()) * float(np.abs(q).max()) * m.shape[1] < 2**53:
         return (m.astype(np.float64) @ q.T.astype(np.float64)).astype(np.int64)
-    exact = m.astype(object) @ q.T.astype(object)
-    return np.clip(exact, LOW, -(LOW + 1)).astype(np.int64)
+    return np.clip(m.astype(object) @ q.T.astype(object), LOW, -(LOW + 1)).astype(np.int64)
+
+
+def bounds(top: np.ndarray, low: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Of each block and query: the sum of the terms' best values."""
+    return products(np.hstack([top, low]), np.hstack([np.maximum(q, 0), np.minimum(q, 0)]))
 
 
 def best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -118,7 +122,7 @@ def search(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec_
         held = [(np.frombuffer(r["ids"], dtype=np.int64), unpacked(r["data"], r["kind"], len(r["ids"]) // 8)) for r in a.to_pylist()]
         top = np.stack([m.max(axis=0) if m.shape[1] else np.zeros(0, np.int64) for _, m in held])
         low = np.stack([m.min(axis=0) if m.shape[1] else np.zeros(0, np.int64) for _, m in held])
-        bound = products(top, np.maximum(q, 0)) + products(low, np.minimum(q, 0))
+        bound = bounds(top, low, q)
         order = np.argsort(-bound, axis=0, kind="stable")
         tq, ti, ts = (np.zeros(0, np.int64) for _ in range(3))
         for step in range(len(held)):
