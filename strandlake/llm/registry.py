@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import metric_join, secrets, simhash, topk
+from . import metric_join, packing, secrets, simhash, topk
 
 
 def queries() -> dict:
     return {
         "op1_topk": topk.op1_topk,
         "op3_secrets": secrets.op3_secrets,
+        "op4_packing": packing.op4_packing,
         "op6_metric_join": metric_join.op6_metric_join,
         "op10_simhash": simhash.op10_simhash,
     }
