@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import metric_join, packing, secrets, simhash, topk
+from . import metric_join, mixing, packing, secrets, simhash, topk, warc
 
 
 def queries() -> dict:
@@ -10,10 +10,12 @@ def queries() -> dict:
         "op1_topk": topk.op1_topk,
         "op3_secrets": secrets.op3_secrets,
         "op4_packing": packing.op4_packing,
+        "op5_warc": warc.op5_warc,
         "op6_metric_join": metric_join.op6_metric_join,
+        "op8_mixing": mixing.op8_mixing,
         "op10_simhash": simhash.op10_simhash,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_topk": topk.OP1_SQL, "op6_metric_join": metric_join.OP6_SQL}
+    return {"op1_topk": topk.OP1_SQL, "op5_warc": warc.OP5_SQL, "op6_metric_join": metric_join.OP6_SQL}
