@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import metric_join, mixing, packing, secrets, simhash, topk, warc
+from . import metric_join, mixing, packing, repeats, secrets, simhash, topk, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_warc": warc.op5_warc,
         "op6_metric_join": metric_join.op6_metric_join,
         "op8_mixing": mixing.op8_mixing,
+        "op9_repeats": repeats.op9_repeats,
         "op10_simhash": simhash.op10_simhash,
     }
 
