@@ -1,0 +1 @@
+"""Intentionally empty: imputation has no streaming operators."""
