@@ -12,7 +12,7 @@ from ..operators import calls, impute, match, score, select
 from ..operators import sites as site_ops
 from ..operators import weights as weight_ops
 from ..sources import vcf
-from .virtual import CHUNK, Virtual
+from .virtual import CHUNK, Virtual, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,7 +26,7 @@ def _plain(df: DataFrame) -> DataFrame:
 
 def query(sql: str | None = None):
     def add(f: Callable[[Virtual], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: _plain(f(Virtual(spark, sf_dir)))
+        QUERIES[f.__name__] = lambda spark, sf_dir: _plain(f(store(spark, sf_dir)))
         if sql:
             ORACLES[f.__name__] = sql
         return f
@@ -53,11 +53,11 @@ CTES: list[tuple[str, str]] = [
     ("rested", "SELECT *, CAST(sum(len) OVER (PARTITION BY target_hap, ref_hap ORDER BY start DESC) AS BIGINT) AS rest FROM top450"),
     ("top60", "SELECT target_hap, ref_hap, start, len, rest, k FROM (SELECT *, row_number() OVER (PARTITION BY target_hap, start ORDER BY len DESC, rest DESC, rank) AS k FROM rested) WHERE k <= 60"),
     ("covered", "SELECT DISTINCT target_hap, unnest(range(start, start + len)) AS n FROM top60"),
-    ("stops", "SELECT s.target_hap, s.stop, CASE WHEN count(*) FILTER (c.n = s.stop + 1) > 0 THEN s.stop ELSE coalesce(min(c.n), 32) - 1 END AS high FROM (SELECT DISTINCT target_hap, start + len - 1 AS stop FROM top60) s LEFT JOIN covered c ON c.target_hap = s.target_hap AND c.n > s.stop GROUP BY ALL"),
+    ("stops", "SELECT s.target_hap, s.stop, CASE WHEN count(*) FILTER (c.n = s.stop + 1) > 0 THEN s.stop ELSE coalesce(min(c.n), 32) - 1 END AS high FROM (SELECT DISTINCT target_hap, start + len - 1 AS stop FROM top60) s LEFT JOIN covered c ON c.target_hap = s.target_hap AND c.n > s.stop GROUP BY s.target_hap, s.stop"),
     ("firsts", "SELECT target_hap, min(start) AS first FROM top60 GROUP BY target_hap"),
     ("cover", "SELECT m.target_hap, ref_hap, start, len, start + len - 1 AS stop, CASE WHEN start = first THEN 0 ELSE start END AS low, high, (CASE WHEN start = first THEN start ELSE 0 END) + high - (start + len - 1) AS added FROM top60 m JOIN stops s ON s.target_hap = m.target_hap AND s.stop = start + len - 1 JOIN firsts f ON f.target_hap = m.target_hap"),
     ("sums", "SELECT target_hap, ref_hap, CAST(sum(len + added) AS BIGINT) AS tot FROM cover GROUP BY ALL"),
-    ("ranges", "SELECT target_hap, CASE WHEN count(*) < (SELECT n_panel FROM np) THEN 0 ELSE min(tot) END AS lo, max(tot) AS hi FROM sums GROUP BY ALL"),
+    ("ranges", "SELECT target_hap, CASE WHEN count(*) < (SELECT n_panel FROM np) THEN 0 ELSE min(tot) END AS lo, max(tot) AS hi FROM sums GROUP BY target_hap"),
     ("totals", "SELECT s.target_hap, ref_hap, tot, CASE WHEN hi = lo THEN 1.0::DOUBLE ELSE (tot - lo)::DOUBLE / (hi - lo) * 0.9::DOUBLE + 0.1::DOUBLE END AS norm FROM sums s JOIN ranges r ON r.target_hap = s.target_hap"),
     ("scored", "SELECT c.*, round(len * norm, 12) AS score FROM cover c JOIN totals t ON t.target_hap = c.target_hap AND t.ref_hap = c.ref_hap"),
     ("stabbed", "SELECT *, unnest(range(low, high + 1)) AS n FROM scored"),
@@ -213,7 +213,7 @@ def variant_names(v: Virtual) -> DataFrame:
 
 # ---- VCF records, made of the rows of nation
 
-VCF_ROWS = "'21' AS chrom, 100 + n_nationkey // 2 AS pos, 'id' || n_nationkey AS id, 'a' AS ref"
+VCF_ROWS = "'21' AS chrom, CAST(100 + n_nationkey // 2 AS BIGINT) AS pos, 'id' || n_nationkey AS id, 'a' AS ref"
 VCF_SQL = f"SELECT {VCF_ROWS}, CASE n_nationkey % 3 WHEN 0 THEN '.' WHEN 1 THEN 'c' ELSE 'c,ta' END AS alt, (n_nationkey % 3)::VARCHAR AS g1, CASE WHEN n_nationkey % 5 = 0 THEN '.' ELSE (n_nationkey % 2)::VARCHAR END AS g2 FROM nation"
 
 
@@ -432,7 +432,7 @@ def vcf_record_text(v: Virtual) -> DataFrame:
     return calls.records(calls.calls(v.probabilities), v.sites, v.shared, own_genotypes(v)).select("site", "record")
 
 
-@query(f"SELECT l_orderkey, l_linenumber, {_short('l_quantity / 3')} AS text FROM lineitem")
+@query(f"SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, {_short('l_quantity / 3')} AS text FROM lineitem")
 def number_text(v: Virtual) -> DataFrame:
     return v.table("lineitem").select("l_orderkey", "l_linenumber", short_number(F.col("l_quantity") / 3).alias("text"))
 

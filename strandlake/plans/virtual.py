@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import variant_id
+from ..functions.tables import written
 from ..operators import genmap, impute, match, select, weights
 from ..operators import sites as site_ops
 
@@ -31,6 +32,8 @@ def letter(letters: str, site: Column) -> Column:
 
 
 class Virtual:
+    """Each stage's result is a table in the shared folder, made when it is first asked for."""
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
@@ -47,7 +50,7 @@ class Virtual:
         s = self.table("embeddings").select(F.max(F.size("embedding")).alias("n")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("site"))
         s = s.select("site", F.lit(CHROM).alias("chrom"), position(F.col("site")).alias("pos"), letter("ACGT", F.col("site")).alias("ref"), letter("CGTA", F.col("site")).alias("alt"))
         s = s.withColumn("id", variant_id(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt"))).withColumn("original_id", F.when(F.col("site") % 3 == 0, F.concat(F.lit("rs"), "site")).otherwise(""))
-        return site_ops.chunked(s, CHUNK)
+        return written(site_ops.chunked(s, CHUNK), "sites")
 
     @cached_property
     def n_variants(self) -> int:
@@ -60,7 +63,7 @@ class Virtual:
 
     @cached_property
     def shared(self) -> DataFrame:
-        return site_ops.dense(site_ops.intersect(self.sites, self.typed_sites)).select("n", "site", "target_row", *site_ops.KEY)
+        return written(site_ops.dense(site_ops.intersect(self.sites, self.typed_sites)).select("n", "site", "target_row", *site_ops.KEY), "shared")
 
     @cached_property
     def n_sites(self) -> int:
@@ -80,27 +83,27 @@ class Virtual:
 
     @cached_property
     def panel_bits(self) -> DataFrame:
-        return match.packed(self.panel.join(F.broadcast(self.shared.select("site", "n")), "site"))  # the typed sites of one chromosome
+        return written(match.packed(self.panel.join(self.shared.select("site", "n"), "site")), "panel-bits")
 
     @cached_property
     def target_bits(self) -> DataFrame:
-        return match.packed(self.targets.join(F.broadcast(self.shared.select("site", "n")), "site"))
+        return written(match.packed(self.targets.join(self.shared.select("site", "n"), "site")), "target-bits")
 
     @cached_property
     def runs(self) -> DataFrame:
-        return match.runs(self.panel_bits, self.target_bits)
+        return written(match.runs(self.panel_bits, self.target_bits), "runs")
 
     @cached_property
     def top_forward(self) -> DataFrame:
-        return match.best_forward(self.runs, self.panel_bits, self.target_bits)
+        return written(match.best_forward(self.runs, self.panel_bits, self.target_bits), "forward")
 
     @cached_property
     def matches(self) -> DataFrame:
-        return match.best_backward(self.top_forward)
+        return written(match.best_backward(self.top_forward), "matches")
 
     @cached_property
     def cover(self) -> DataFrame:
-        return select.coverage(self.matches, self.n_sites)
+        return written(select.coverage(self.matches, self.n_sites), "cover")
 
     @cached_property
     def totals(self) -> DataFrame:
@@ -108,7 +111,7 @@ class Virtual:
 
     @cached_property
     def score(self) -> DataFrame:
-        return select.scored(self.cover, self.totals)
+        return written(select.scored(self.cover, self.totals), "score")
 
     @cached_property
     def limits(self) -> DataFrame:
@@ -116,7 +119,7 @@ class Virtual:
 
     @cached_property
     def best(self) -> DataFrame:
-        return select.best_at_sites(self.score, self.limits)
+        return written(select.best_at_sites(self.score, self.limits), "best")
 
     @cached_property
     def chosen(self) -> DataFrame:
@@ -124,7 +127,7 @@ class Virtual:
 
     @cached_property
     def wide(self) -> DataFrame:
-        return select.expanded(self.cover, self.chosen)
+        return written(select.expanded(self.cover, self.chosen), "wide")
 
     @cached_property
     def frequent(self) -> tuple[DataFrame, DataFrame]:
@@ -132,7 +135,7 @@ class Virtual:
 
     @cached_property
     def selected(self) -> DataFrame:
-        return select.restricted(self.wide, self.frequent[0])
+        return written(select.restricted(self.wide, self.frequent[0]), "selected")
 
     @cached_property
     def genetic_map(self) -> DataFrame:
@@ -141,7 +144,7 @@ class Virtual:
 
     @cached_property
     def cm(self) -> DataFrame:
-        return genmap.interpolated(self.genetic_map, self.shared.select("chrom", "pos", "n")).select("chrom", "n", "pos", "cm")
+        return written(genmap.interpolated(self.genetic_map, self.shared.select("chrom", "pos", "n")).select("chrom", "n", "pos", "cm"), "cm")
 
     @cached_property
     def rates(self) -> DataFrame:
@@ -149,7 +152,7 @@ class Virtual:
 
     @cached_property
     def weights(self) -> DataFrame:
-        return weights.weights(self.selected, self.rates, self.frequent[1], self.n_sites)
+        return written(weights.weights(self.selected, self.rates, self.frequent[1], self.n_sites), "weights")
 
     @cached_property
     def intervals(self) -> DataFrame:
@@ -157,8 +160,24 @@ class Virtual:
 
     @cached_property
     def ends(self) -> DataFrame:
-        return impute.interval_weights(self.weights, self.intervals)
+        return written(impute.interval_weights(self.weights, self.intervals), "ends")
 
     @cached_property
     def probabilities(self) -> DataFrame:
-        return impute.alt_probabilities(self.ends, impute.site_intervals(self.intervals), self.panel.where("allele = 1").select("site", "hap"), DIGITS)
+        alt = self.panel.where("allele = 1").select("site", "hap")
+        return written(impute.alt_probabilities(self.ends, impute.site_intervals(self.intervals), alt, DIGITS), "probabilities")
+
+
+STORES: dict[tuple[str, str], Virtual] = {}
+
+
+def store(spark: SparkSession, sf_dir: str) -> Virtual:
+    """The stages of a session and input; queries of one session share the tables that are there already."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in STORES:
+        STORES[key] = Virtual(spark, sf_dir)
+    return STORES[key]
+
+
+def forget() -> None:
+    STORES.clear()
