@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import variant_id
 from ..functions.tables import written
-from ..operators import genmap, impute, match, select, weights
+from ..operators import match
 from ..operators import sites as site_ops
+from .stages import Stages
 
 TARGETS = 20  # haplotypes
 CHUNK = 16
 CHROM = "20"
-DIGITS = 10
 
 
 def position(site: Column) -> Column:
@@ -31,9 +31,7 @@ def letter(letters: str, site: Column) -> Column:
     return F.substring(F.lit(letters), (site % 4 + 1).cast("int"), F.lit(1))
 
 
-class Virtual:
-    """Each stage's result is a table in the shared folder, made when it is first asked for."""
-
+class Virtual(Stages):
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
@@ -52,10 +50,6 @@ class Virtual:
         s = s.withColumn("id", variant_id(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt"))).withColumn("original_id", F.when(F.col("site") % 3 == 0, F.concat(F.lit("rs"), "site")).otherwise(""))
         return written(site_ops.chunked(s, CHUNK), "sites")
 
-    @cached_property
-    def n_variants(self) -> int:
-        return self.sites.count()
-
     @cached_property
     def typed_sites(self) -> DataFrame:
         """Sites of the targets' own file, with row numbers of their own."""
@@ -65,10 +59,6 @@ class Virtual:
     def shared(self) -> DataFrame:
         return written(site_ops.dense(site_ops.intersect(self.sites, self.typed_sites)).select("n", "site", "target_row", *site_ops.KEY), "shared")
 
-    @cached_property
-    def n_sites(self) -> int:
-        return self.shared.count()
-
     @cached_property
     def panel(self) -> DataFrame:
         return self.alleles.where(F.col("hap") >= TARGETS)
@@ -90,83 +80,14 @@ class Virtual:
         return written(match.packed(self.targets.join(self.shared.select("site", "n"), "site")), "target-bits")
 
     @cached_property
-    def runs(self) -> DataFrame:
-        return written(match.runs(self.panel_bits, self.target_bits), "runs")
-
-    @cached_property
-    def top_forward(self) -> DataFrame:
-        return written(match.best_forward(self.runs, self.panel_bits, self.target_bits), "forward")
-
-    @cached_property
-    def matches(self) -> DataFrame:
-        return written(match.best_backward(self.top_forward), "matches")
-
-    @cached_property
-    def cover(self) -> DataFrame:
-        return written(select.coverage(self.matches, self.n_sites), "cover")
-
-    @cached_property
-    def totals(self) -> DataFrame:
-        return select.totals(self.cover, self.n_panel)
-
-    @cached_property
-    def score(self) -> DataFrame:
-        return written(select.scored(self.cover, self.totals), "score")
-
-    @cached_property
-    def limits(self) -> DataFrame:
-        return select.thresholds(self.score, self.n_sites)
-
-    @cached_property
-    def best(self) -> DataFrame:
-        return written(select.best_at_sites(self.score, self.limits), "best")
-
-    @cached_property
-    def chosen(self) -> DataFrame:
-        return select.restricted(self.best.select("target_hap", "n", "ref_hap"), select.seen_again(self.best))
-
-    @cached_property
-    def wide(self) -> DataFrame:
-        return written(select.expanded(self.cover, self.chosen), "wide")
-
-    @cached_property
-    def frequent(self) -> tuple[DataFrame, DataFrame]:
-        return select.frequent(self.wide, self.n_sites)
-
-    @cached_property
-    def selected(self) -> DataFrame:
-        return written(select.restricted(self.wide, self.frequent[0]), "selected")
+    def panel_alt(self) -> DataFrame:
+        return self.panel.where("allele = 1").select("site", "hap")
 
     @cached_property
     def genetic_map(self) -> DataFrame:
         k = F.col("n_nationkey")
         return self.table("nation").select(F.lit(CHROM).alias("chrom"), (F.lit(55000) + k * 3000).cast("long").alias("pos"), (F.lit(0.01) * k * (k + 1) / 2).alias("cm"))
 
-    @cached_property
-    def cm(self) -> DataFrame:
-        return written(genmap.interpolated(self.genetic_map, self.shared.select("chrom", "pos", "n")).select("chrom", "n", "pos", "cm"), "cm")
-
-    @cached_property
-    def rates(self) -> DataFrame:
-        return genmap.recombination(self.cm, self.n_panel)
-
-    @cached_property
-    def weights(self) -> DataFrame:
-        return written(weights.weights(self.selected, self.rates, self.frequent[1], self.n_sites), "weights")
-
-    @cached_property
-    def intervals(self) -> DataFrame:
-        return impute.interval_table(impute.row_sites(self.shared, self.n_variants))
-
-    @cached_property
-    def ends(self) -> DataFrame:
-        return written(impute.interval_weights(self.weights, self.intervals), "ends")
-
-    @cached_property
-    def probabilities(self) -> DataFrame:
-        alt = self.panel.where("allele = 1").select("site", "hap")
-        return written(impute.alt_probabilities(self.ends, impute.site_intervals(self.intervals), alt, DIGITS), "probabilities")
-
 
 STORES: dict[tuple[str, str], Virtual] = {}
 

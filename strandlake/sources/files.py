@@ -18,7 +18,7 @@ def site_list(spark: SparkSession, path: str) -> DataFrame:
 
 def sample_list(spark: SparkSession, path: str) -> DataFrame:
     """First word of each line, in order; the two head lines of a list that begins with ID_1 are left out."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
     names = rows.select("line", F.get(F.split(F.trim("value"), r"\s+"), F.lit(0)).alias("sample_id"))
     skip = 2 if names.where("line = 0 and sample_id = 'ID_1'").count() else 0
     names = names.where((F.col("line") >= skip) & (F.col("sample_id") != ""))
@@ -27,7 +27,7 @@ def sample_list(spark: SparkSession, path: str) -> DataFrame:
 
 def site_filter(spark: SparkSession, path: str, n: int) -> DataFrame:
     """(site, keep): a line for each site; anything but 1 leaves the site out. A wrong number of lines is an error."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("site", "value"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("site", "value"))
     got = rows.count()
     if got != n:
         raise ValueError(f"site filter has {got} lines, not {n}")
