@@ -24,5 +24,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    found = {"op1_topk": topk.OP1_SQL, "op2_chat": chat.OP2_SQL, "op5_warc": warc.OP5_SQL, "op6_metric_join": metric_join.OP6_SQL}
+    found = {"op1_topk": topk.OP1_SQL, "op2_chat": chat.OP2_SQL, "op3_secrets": secrets.OP3_SQL, "op5_warc": warc.OP5_SQL, "op6_metric_join": metric_join.OP6_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

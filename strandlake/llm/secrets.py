@@ -150,3 +150,28 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = [_count("base", "k", k).alias(f"n_{n}") for k, (n, *_) in enumerate(KINDS)]
     classes = [_count("judged", "class", c).alias(f"n_{c}") for c in ("example", "live", "unsure")]
     return found.select("doc_id", *count, F.sha2(_spans(F.col("base")), 256).alias("base_sha256"), _spans(F.col("judged")).alias("spans"), *classes)
+
+
+def _sql_kind(k: int, pattern: str, group: int) -> str:
+    quoted = "'" + pattern.replace("'", "''") + "'"
+    return (
+        f"SELECT doc_id, source, {k} AS k, i, length(w) AS n, v, gap FROM (SELECT doc_id, source, unnest(regexp_extract_all(text, {quoted}, 0)) AS w, unnest(regexp_extract_all(text, {quoted}, {group})) AS v, "
+        f"unnest(list_resize(string_split_regex(text, {quoted}), len(regexp_extract_all(text, {quoted}, 0)))) AS gap, unnest(range(len(regexp_extract_all(text, {quoted}, 0)))) AS i FROM d)"
+    )
+
+
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+m AS ({" UNION ALL ".join(_sql_kind(k, p, g) for k, (_, p, g, _) in enumerate((*KINDS, OWNED)))}),
+p AS (SELECT *, CAST(sum(length(gap)) OVER w + sum(n) OVER w - n AS BIGINT) AS s FROM m WINDOW w AS (PARTITION BY doc_id, k ORDER BY i)),
+h AS (SELECT doc_id, source, k, s, s + n AS e, v, ['assign', 'access', 'hex', 'owned'][k + 1] || ':' || s || ':' || (s + n) AS span FROM p WHERE length(v) >= [6, 20, 24, 20][k + 1]),
+o AS (SELECT * FROM h WHERE k = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND NOT EXISTS (SELECT 1 FROM h b WHERE b.doc_id = h.doc_id AND b.k < 3 AND b.s < h.e AND h.s < b.e)),
+c AS (SELECT * FROM h WHERE k < 3 UNION ALL SELECT * FROM o),
+f AS (SELECT v, CASE WHEN count(DISTINCT source) >= {OWNERS} THEN 'example'
+    WHEN count(DISTINCT source) = 1 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= 8 THEN 'live' ELSE 'unsure' END AS class FROM c GROUP BY v),
+j AS (SELECT c.*, class FROM c JOIN f ON f.v = c.v WHERE k < 3 OR class = 'live')
+SELECT d.doc_id, count(k) FILTER (k = 0) AS n_assign, count(k) FILTER (k = 1) AS n_access, count(k) FILTER (k = 2) AS n_hex,
+  sha256(coalesce(string_agg(span, ',' ORDER BY s, k) FILTER (k < 3), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY s, k), '') AS spans,
+  count(k) FILTER (class = 'example') AS n_example, count(k) FILTER (class = 'live') AS n_live, count(k) FILTER (class = 'unsure') AS n_unsure
+FROM d LEFT JOIN j ON j.doc_id = d.doc_id GROUP BY d.doc_id
+"""
