@@ -87,7 +87,7 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, id_co
     once a source has run out the others go on at their own ratios. A null source is a source. Rows
     that repeat an id are placed each. Weights must be positive; they are rounded to multiples of
     1 / unit of their sum, at least one."""
-    spark = docs.sparkSession
+    docs = docs.drop("mix_source", "mix_block", "mix_slot", "mix_position")  # of an earlier mixture
     source, h, bucket, rank, before, n = (free_name(docs, x) for x in ("mix_source", "__hash", "__bucket", "__rank", "__before", "__n"))
     raw = F.coalesce(F.col(source_col).cast("string"), F.lit("\x00null"))
     if weights is None:

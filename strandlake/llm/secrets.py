@@ -131,17 +131,27 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ow
     """docs with every live span's text replaced by `mark`; examples, unsure values and clean rows are left as they are.
 
     All columns and rows stay; overlapping spans become one mark. Spans are cut in code points."""
-    named, rest = free_name(docs, "__row"), free_name(docs, "__digest")
+    named, rest, live_, cut = (free_name(docs, x) for x in ("__row", "__digest", "__live", "__merged"))
     found = secrets(docs, id_col, text_col, owner_col)
-    live = found.select(F.col("doc_id").alias(named), F.col("digest").alias(rest), F.filter("judged", lambda x: x["class"] == "live").alias("__live")).where(F.size("__live") > 0).dropDuplicates([named, rest])
+    live = found.select(F.col("doc_id").alias(named), F.col("digest").alias(rest), F.filter("judged", lambda x: x["class"] == "live").alias(live_)).where(F.size(live_) > 0).dropDuplicates([named, rest])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     joined = docs.join(live, docs[id_col].eqNullSafe(live[named]) & (F.xxhash64(text) == live[rest]), "left")
-    # a live span that starts inside an earlier one only lengthens it
-    merged = F.aggregate("__live", F.array().cast("array<struct<s:bigint,e:bigint>>"), lambda acc, x: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["e"] > x["s"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.get(acc, F.size(acc) - 1)["s"].alias("s"), F.greatest(F.get(acc, F.size(acc) - 1)["e"], x["e"]).alias("e"))))).otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"))))))
-    joined = joined.withColumn("__merged", merged)
-    pieces = F.transform("__merged", lambda x, i: F.concat(F.substring(text, F.when(i == 0, F.lit(1)).otherwise(F.get(F.col("__merged"), i - 1)["e"] + 1).cast("int"), (x["s"] - F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(F.col("__merged"), i - 1)["e"])).cast("int")), F.lit(mark)))
-    tail = F.substring(text, (F.get(F.col("__merged"), F.size("__merged") - 1)["e"] + 1).cast("int"), F.char_length(text))
-    new = F.when(F.col("__live").isNull(), F.col(text_col)).otherwise(F.concat(F.array_join(pieces, ""), tail))
+
+    def add(acc: Column, x: Column) -> Column:
+        """A live span that starts inside an earlier one only lengthens it."""
+        last = F.get(acc, F.size(acc) - 1)
+        longer = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))
+        inside = (F.size(acc) > 0) & (last["e"] > x["s"])
+        return F.when(inside, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e")))))
+
+    joined = joined.withColumn(cut, F.aggregate(live_, F.array().cast("array<struct<s:bigint,e:bigint>>"), add))
+
+    def piece(x: Column, i: Column) -> Column:
+        before = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(F.col(cut), i - 1)["e"])
+        return F.concat(F.substring(text, (before + 1).cast("int"), (x["s"] - before).cast("int")), F.lit(mark))
+
+    tail = F.substring(text, (F.get(F.col(cut), F.size(cut) - 1)["e"] + 1).cast("int"), F.char_length(text))
+    new = F.when(F.col(live_).isNull(), F.col(text_col)).otherwise(F.concat(F.array_join(F.transform(cut, piece), ""), tail))
     return joined.select(*[new.alias(c) if c == text_col else docs[c] for c in docs.columns])
 
 

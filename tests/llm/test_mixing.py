@@ -53,6 +53,7 @@ def test_all_rows_are_placed(spark):
     again = {(r.doc_id, r.mix_position) for r in mixing.mixed(df.repartition(7), {"s0": 5, "s1": 3, "s2": 1}, block=4, rows=16).collect()}
     assert again == {(r.doc_id, r.mix_position) for r in got}
     assert mixing.mixed(df.limit(0)).count() == 0
+    assert mixing.mixed(out, {"s0": 5}, block=4).columns == out.columns
     with pytest.raises(ValueError):
         mixing.mixed(df, {"s0": 0})
 

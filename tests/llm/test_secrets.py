@@ -46,7 +46,7 @@ def test_base_spans_match_regular_expressions(spark):
 def test_ownership_separates_examples_from_live(spark):
     shared, own = "token=Ex4mpleValue01", "token=Zq8Lm2Xw9Rt5"
     rows = [(i, shared, f"o{i}") for i in range(5)] + [(10, own, "me"), (10, own, "me"), (11, own + " again", "me"), (None, own, None), (13, "token=aaaaaaaa", "x")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("text_", F.lit(1)).withColumn("v", F.lit("clash")).withColumn("digest", F.lit(2))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("text_", F.lit(1)).withColumn("v", F.lit("clash")).withColumn("digest", F.lit(2)).withColumn("__LIVE", F.lit(3)).withColumn("__merged", F.lit(4))
     got = secrets.secrets(df).collect()
     assert len(got) == len(rows)
     kinds = {(r.doc_id): [j["class"] for j in r.judged] for r in got}
