@@ -23,7 +23,7 @@ PERIOD = 4096  # the unit of weights is 1 / PERIOD of their sum
 SOURCES = 256  # sources with a weight of their own; all further ones form one pool
 POOL = "\x00pool"
 TEMPERATURE = 0.5
-ROWS = 8192
+ROWS = 1024
 
 
 def period(weights: list[int]) -> list[list[int]]:
