@@ -22,45 +22,69 @@ BREAK = re.compile(r"[.!?](?=\s)|\n")
 SPANS = "array<struct<s:int,e:int>>"
 
 
-def units(text: str, least: int = WORDS) -> Iterator[tuple[int, int, str]]:
-    """(start, end, normalised text) of disjoint units of `least` words or more.
+def digest(words: list[str], before: bytes = b"") -> bytes:
+    """Of words from the last to the first, so that ends of a sentence can be hashed in one pass."""
+    return blake2b(before + "\x1f".join(reversed(words)).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def units(text: str, least: int = WORDS) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, digest of the normalised words) of units of `least` words or more.
 
     A line is cut at sentence ends; a line with no long sentence is one unit if it is long as a
-    whole. Short sentences after a long one in the same line form a unit whose text begins with the
-    long one's, so that they count as repeated only in that place."""
+    whole. Where a capital follows a word without one inside a sentence, the rest of the sentence is
+    a unit too: a passage set into the middle of another sentence begins so. Short sentences after a
+    long one in the same line form a unit whose digest holds the long one's, so that they count as
+    repeated only in that place."""
     line: list[tuple[int, int, list[str]]] = []
     at = 0
     for m in [*BREAK.finditer(text), None]:
         stop = m.end() if m else len(text)
-        words = text[at:stop].lower().split()
+        words = text[at:stop].split()
         if words:
             line.append((at, stop, words))
         if m is None or m[0] == "\n":
-            yield from _of_line(line, least)
+            yield from _of_line(text, line, least)
             line = []
         at = stop
 
 
-def _of_line(line: list[tuple[int, int, list[str]]], least: int) -> Iterator[tuple[int, int, str]]:
+def _ends(text: str, start: int, end: int, words: list[str], least: int) -> list[tuple[int, bytes]]:
+    """(start, digest) of the sentence and of each end of it that begins with a capital after none."""
+    low = [w.lower() for w in words]
+    cut = {i for i in range(1, len(words) - least + 1) if words[i][0].isupper() and not words[i - 1][0].isupper()}
+    if not cut:
+        return [(start, digest(low))]
+    places = [m.start() for m in re.finditer(r"\S+", text[start:end])]
+    h, found = blake2b(digest_size=16), []
+    for i in range(len(low) - 1, -1, -1):
+        h.update((low[i] if i == len(low) - 1 else f"\x1f{low[i]}").encode("utf-8", "surrogatepass"))
+        if i in cut:
+            found.append((start + places[i], h.copy().digest()))
+    return [(start, h.digest()), *found]
+
+
+def _of_line(text: str, line: list[tuple[int, int, list[str]]], least: int) -> Iterator[tuple[int, int, bytes]]:
     if not any(len(w) >= least for _, _, w in line):
         if sum(len(w) for _, _, w in line) >= least:
-            yield line[0][0], line[-1][1], " ".join(x for _, _, w in line for x in w)
+            yield line[0][0], line[-1][1], digest([x.lower() for _, _, w in line for x in w])
         return
-    before, i = "", 0
+    before: list[tuple[int, bytes]] = []
+    i = 0
     while i < len(line):
         start, end, words = line[i]
         i += 1
         if len(words) >= least:
-            before = " ".join(words)
-            yield start, end, before
+            before = _ends(text, start, end, words, least)
+            for s, d in before:
+                yield s, end, d
             continue
-        run = [*words]
+        run = [x.lower() for x in words]
         while i < len(line) and len(line[i][2]) < least:
             end = line[i][1]
-            run += line[i][2]
+            run += [x.lower() for x in line[i][2]]
             i += 1
-        if before:
-            yield start, end, f"{before}\x1f{' '.join(run)}"
+        for _, d in before:
+            yield start, end, digest(run, d)
 
 
 def unit_table(docs: DataFrame, least: int = WORDS) -> DataFrame:
@@ -71,8 +95,7 @@ def unit_table(docs: DataFrame, least: int = WORDS) -> DataFrame:
             row, spans, digests = [], [], []
             for i, text in enumerate(batch.column(1)):
                 seen: set[bytes] = set()
-                for s, e, norm in units(text.as_py() or "", least):
-                    d = blake2b(norm.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                for s, e, d in units(text.as_py() or "", least):
                     digests.append(b"\0" * 16 if d in seen else d)
                     seen.add(d)
                     row.append(i)

@@ -36,6 +36,8 @@ def got(df, **kw):
 def test_units_cover_sentences_and_lines():
     text = f"Own start. {LONG} {SHORT} And so.\nA b. C d. E f. G h. I j. K l.\n\nshort line"
     found = [text[s:e].strip() for s, e, _ in repeats.units(text)]
+    glued = f"Some words before and then {LONG}"
+    assert {d for _, _, d in repeats.units(LONG)} <= {d for _, _, d in repeats.units(glued)}
     assert found == [LONG, f"{SHORT} And so.", "A b. C d. E f. G h. I j. K l."]
 
 
@@ -46,12 +48,15 @@ def test_passage_is_cut_wherever_it_stands(spark):
     found = {r.doc_id: r for r in repeats.without_repeats(df).collect()}
     assert found[1].text == a and found[2].text == "Some own words here." and found[3].text == f"\nrest é😀 {SHORT}"
     assert found[4].text == "\n" and found[None].text == "" and found[5].text is None and found[6].text == ""
+    glued = spark.createDataFrame([(1, a), (2, f"other words stand before {LONG} {SHORT} Then more.")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in repeats.without_repeats(glued).collect()}[2].startswith("other words stand before ")
+    assert LONG not in {r.doc_id: r.text for r in repeats.without_repeats(glued).collect()}[2]
     assert "".join(c[x.s : x.e] for x in found[3].kept) == found[3].text
 
 
 def test_matches_brute_force(spark):
     random.seed(7)
-    pool = [" ".join(random.choice("abcdefg") * random.randint(1, 3) for _ in range(random.randint(1, 9))) + random.choice([".", "!", ""]) for _ in range(40)]
+    pool = [" ".join(random.choice("abcdefgXY") * random.randint(1, 3) for _ in range(random.randint(1, 9))) + random.choice([".", "!", ""]) for _ in range(40)]
     rows = [(i if i % 9 else None, random.choice(["\n", " "]).join(random.choice(pool) for _ in range(random.randint(0, 12)))) for i in range(120)]
     rows += [rows[3], (500, "w " * 60000 + ". " + pool[0])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
