@@ -23,31 +23,33 @@ def plain(text: Column) -> Column:
     return F.replace(text, F.lit("<|"), F.lit("< |"))
 
 
-def placed(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", chunk: int = TURNS, span: int = RANGE) -> DataFrame:
-    """(conv_id, chunk, rank, role, text): rank counts a dialogue's turns from 0 in the order of turn, role, text.
-
-    Turns are ranked within ranges of turn numbers and the ranges' counts summed up, so that a
-    dialogue that holds a third of all rows is ranked by many tasks."""
-    t = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit(UNKNOWN)).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    t = t.withColumn("part", F.coalesce(F.floor(F.col("turn") / span), F.lit(-(1 << 62))))
-    over = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = t.groupBy("conv_id", "part").agg(F.count("*").alias("n")).select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(over), F.lit(0)).alias("before"))
-    within = Window.partitionBy("conv_id", "part").orderBy(F.asc_nulls_first("turn"), "role", "text")
-    ranked = t.withColumn("at", F.row_number().over(within) - 1)
-    ranked = ranked.join(ahead, ranked["conv_id"].eqNullSafe(ahead["c"]) & (ranked["part"] == ahead["p"])).withColumn("rank", F.col("at") + F.col("before"))
-    return ranked.select("conv_id", F.floor(F.col("rank") / chunk).alias("chunk"), "rank", "role", "text")
-
-
-def rendered(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", chunk: int = TURNS) -> DataFrame:
+def base(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str, span: int = RANGE) -> DataFrame:
+    """(conv_id, lone, key, part, turn, role, text): lone marks a null conv_id, key stands for it; part is the range of turn numbers."""
+    conv = F.col(conv_col)
+    t = turns.select(conv.alias("conv_id"), conv.isNull().alias("lone"), F.coalesce(conv.cast("string"), F.lit("")).alias("key"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit(UNKNOWN)).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return t.withColumn("part", F.coalesce(F.floor(F.col("turn") / span), F.lit(-(1 << 62))))
+
+
+def rendered(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", chunk: int = TURNS, span: int = RANGE) -> DataFrame:
     """(conv_id, perspective, chunk, n_turns, n_own, text, masks): one row for each chunk and participant of its dialogue.
 
+    Turns are ordered by turn, role and text; chunks of `chunk` turns are cut within ranges of `span`
+    turn numbers and counted through from 0, so that a dialogue that holds a third of all rows is
+    many tasks' work. Texts are shuffled once, by dialogue and range; who takes part and how many
+    chunks lie before a range comes to them in small rows.
+
     Participants are the roles of the whole dialogue but the system; a dialogue of system turns only
     has none. Null roles are 'unknown', null texts empty, a null turn comes first; a null conv_id is
     a dialogue. Repeated turns are all rendered. masks are spans of text in code points."""
-    t = placed(turns, conv_col, turn_col, role_col, text_col, chunk)
-    held = t.groupBy("conv_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("rank", "role", "text"))).alias("turns"))
-    people = t.where(F.col("role") != SYSTEM).select(F.col("conv_id").alias("c"), F.col("role").alias("perspective")).distinct()
-    rows = held.join(people, held["conv_id"].eqNullSafe(people["c"])).select("conv_id", "perspective", "chunk", "turns")
+    t = base(turns, conv_col, turn_col, role_col, text_col, span)
+    at, whole = ["lone", "key", "part"], ["lone", "key"]
+    people = t.where(F.col("role") != SYSTEM).select(*whole, F.col("role").alias("perspective")).distinct()
+    over = Window.partitionBy(*whole).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = t.groupBy(*at).agg(F.ceil(F.count("*") / chunk).alias("n")).select(*at, F.coalesce(F.sum("n").over(over), F.lit(0)).alias("before"))
+    within = Window.partitionBy(*at).orderBy(F.asc_nulls_first("turn"), "role", "text")
+    ranked = t.withColumn("rank", F.row_number().over(within) - 1).withColumn("piece", F.floor(F.col("rank") / chunk))
+    held = ranked.groupBy(*at, "piece").agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list(F.struct("rank", "role", "text"))).alias("turns"))
+    rows = held.join(ranges.join(people, whole), at).select("conv_id", "perspective", (F.col("before") + F.col("piece")).alias("chunk"), "turns")
     name = lambda role: F.regexp_replace(plain(role), r"\s", " ")
 
     def head(x: Column) -> Column:
@@ -74,16 +76,19 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = """
 WITH t AS (
-  SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS rank
+  SELECT conv_id, coalesce(turn // 1024, -9223372036854775807) AS part, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id, turn // 1024 ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS rank
   FROM conversations
+), b AS (
+  SELECT conv_id, part, CAST(coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+  FROM (SELECT conv_id, part, (count(*) + 63) // 64 AS n FROM t GROUP BY ALL)
 ), p AS (
   SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'
 ), s AS (
-  SELECT t.conv_id, perspective, rank // 64 AS chunk, rank, role = perspective AS own,
+  SELECT t.conv_id, perspective, before + rank // 64 AS chunk, rank, role = perspective AS own,
          '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant' ELSE 'user name=' || regexp_replace(replace(role, '<|', '< |'), '\\s', ' ', 'g') END || chr(10) AS head,
          replace(text, '<|', '< |') || '<|im_end|>' || chr(10) AS body
-  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id JOIN b ON t.conv_id IS NOT DISTINCT FROM b.conv_id AND t.part = b.part
 ), o AS (
   SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, chunk ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS pos FROM s
 )
