@@ -38,3 +38,12 @@ def exists(spark: SparkSession, path: str) -> bool:
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sites, ALT alleles, samples); a filter on chunk prunes partitions."""
     return spark.read.parquet(f"{path}/sites"), spark.read.parquet(f"{path}/alleles"), spark.read.parquet(f"{path}/samples")
+
+
+def metadata(spark: SparkSession, path: str) -> DataFrame:
+    """The store's facts by chromosome, as JSON text: sites, chunks, position range, haplotypes, samples."""
+    sites, _, samples = read(spark, path)
+    n = samples.count()
+    facts = sites.groupBy("chrom").agg(F.count("*").alias("n_variants"), F.min("pos").alias("min_position"), F.max("pos").alias("max_position"), F.countDistinct("chunk").alias("n_chunks"))
+    facts = facts.withColumns({"n_samples": F.lit(n), "n_haps": F.lit(2 * n)})
+    return facts.select("chrom", F.to_json(F.struct(*facts.columns)).alias("metadata"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.assembly import LENGTHS
 from ..functions.numbers import variant_id
 
 FIXED = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format")
@@ -56,6 +57,15 @@ def with_ids(found: DataFrame) -> DataFrame:
     return found.withColumn("variant_id", variant_id(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt")))
 
 
+def file_stats(text: DataFrame) -> DataFrame:
+    """(chrom, n_records, last_pos) of a file's records, and the length its header or else the assembly gives."""
+    declared = header(text).select(F.regexp_extract("value", r"^##contig=<ID=([^,>]+)", 1).alias("chrom"), F.regexp_extract("value", r"length=([0-9]+)", 1).try_cast("long").alias("declared")).where("chrom <> ''").groupBy("chrom").agg(F.max("declared").alias("declared"))
+    known = F.create_map(*[F.lit(x) for pair in LENGTHS.items() for x in pair])
+    got = records(text).groupBy("chrom").agg(F.count("*").alias("n_records"), F.max("pos").alias("last_pos"))
+    length = F.coalesce("declared", known[F.regexp_replace("chrom", "^chr", "")].cast("long"))
+    return got.join(declared, "chrom", "left").select("chrom", "n_records", "last_pos", length.alias("length"))
+
+
 def called(field: Column, fmt: Column) -> Column:
     """The GT part of a sample field as an array of allele codes, '/' read as '|'; null where the record has no GT."""
     at = F.array_position(F.split(fmt, ":"), "GT").cast("int")

@@ -1,5 +1,6 @@
 """Readers, the panel store and whole plans over files."""
 
+import json
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from strandlake.functions.assembly import chromosome_length
 from strandlake.operators import calls, match, select, weights
 from strandlake.operators import sites as site_ops
 from strandlake.plans import cli, files
@@ -49,6 +51,9 @@ def test_prepare_impute_score(spark, world, capsys):
     sites, alt, samples = panel.read(spark, store)
     assert sites.count() == 40 and samples.count() == 30 and sorted(r.chunk for r in alt.select("chunk").distinct().collect()) == [0, 1, 2]
     assert alt.count() == sum(map(sum, (h for p in people[:30] for h in p)))
+    facts = json.loads(panel.metadata(spark, store).first().metadata)
+    assert facts == {"chrom": "20", "n_variants": 40, "min_position": 1000, "max_position": 2950, "n_chunks": 3, "n_samples": 30, "n_haps": 60}
+    assert tuple(vcf.file_stats(vcf.lines(spark, full)).first()) == ("20", 40, 2950, 64444167)
     files.prepare(spark, full, store)  # there already: nothing happens
     cli.main(["impute", "--panel", store, "--target", chip, "--map", str(d / "map.txt"), "--out", str(d / "out.txt")])
     name = capsys.readouterr().out.strip().splitlines()[-1]
@@ -161,6 +166,10 @@ def test_weights_sum_to_one_and_bear_no_error():
         assert np.allclose(w.sum(axis=1), 1) and (pruned <= w).all() and ((pruned == 0) | (pruned >= 1 / 10)).all()
 
 
+def test_assembly():
+    assert chromosome_length("chr20") == 64444167 and chromosome_length("X") == 156040895 and chromosome_length("GL1") is None
+
+
 def test_slices_and_counts(spark):
     df = spark.createDataFrame([(h, s, (h + s) % 2) for h in range(4) for s in range(10)], "hap int, site long, allele int")
     at = lambda d: sorted({r.site for r in d.collect()})
