@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import mixing, packing, quality, secrets, simhash
+from strandlake.llm import mixing, near, packing, quality, secrets
 from strandlake.llm.common import free_name, table, written
 
 
@@ -18,9 +18,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest doc_id stays; rows that repeat one in full become one."""
+    """Of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more) the document of the smallest doc_id stays; rows that repeat one in full become one."""
     name, row = free_name(docs, "__id"), free_name(docs, "__row")
-    stays = simhash.groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    stays = near.groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
     kept = docs.join(stays, docs["doc_id"].eqNullSafe(stays[name]), "left_semi")
     return kept.withColumn(row, F.xxhash64(*docs.columns)).dropDuplicates(["doc_id", row]).select(*docs.columns)
 
