@@ -1,112 +1,142 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source is a task of weight w whose k-th block (from 0) is released at floor(k / w) and due at
-ceil((k + 1) / w); earliest deadline first then keeps every source within less than one block of
-w * t at every slot t. Weights are integers over their sum, so the schedule repeats: one period is
-made on the driver, of bounded size, and every block finds its slot by arithmetic. When a source
-runs out a new phase begins with the others' weights, until every row has its place.
+Each source is a task of weight w. Were rows divisible, all sources that have not run out would be
+served at once, each at the rate of its weight; at virtual time v source i has had min(w_i v, n_i)
+blocks, and the sum over all sources is the slot T(v). The k-th block (from 0) of a source is
+released at floor(T(k / w)) and due at ceil(T((k + 1) / w)); earliest deadline first then keeps every
+source within less than one block of its share at every slot, also after others have run out.
+Weights are exact: floats are fractions, scaled to whole numbers of any length. The schedule is made
+by one Arrow task that holds a bounded state for each source and gives a table of blocks.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left
+from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, table
+from .common import free_name, table, written
 
 BLOCK = 64
-PERIOD = 4096  # the unit of weights is 1 / PERIOD of their sum
-SOURCES = 256  # sources with a weight of their own; all further ones form one pool
-POOL = "\x00pool"
 TEMPERATURE = 0.5
 ROWS = 1024
 
 
+def whole(weights: list[float]) -> list[int]:
+    """The weights as whole numbers of the same ratios, exactly."""
+    parts = [Fraction(w) for w in weights]
+    unit = math.lcm(*(p.denominator for p in parts))
+    return [p.numerator * (unit // p.denominator) for p in parts]
+
+
+def order(blocks: list[int], weights: list[int]) -> Iterator[int]:
+    """The task of each slot: earliest deadline first among released blocks, until all blocks have a slot."""
+    tasks = [i for i, n in enumerate(blocks) if n]
+    ends = sorted(tasks, key=lambda i: Fraction(blocks[i], weights[i]))
+    near = [blocks[i] / weights[i] for i in ends]  # close enough to find the place, which is then made exact
+    gone, rate = [0], [sum(weights[i] for i in tasks)]  # of the first tasks that have run out: their blocks; the others' weight
+    for i in ends:
+        gone.append(gone[-1] + blocks[i])
+        rate.append(rate[-1] - weights[i])
+
+    def slot(i: int, k: int) -> tuple[int, int]:
+        """T(k / w) as a fraction."""
+        w = weights[i]
+        at = bisect_left(near, k / w)
+        while at < len(ends) and blocks[ends[at]] * w < k * weights[ends[at]]:
+            at += 1
+        while at and blocks[ends[at - 1]] * w >= k * weights[ends[at - 1]]:
+            at -= 1
+        return k * rate[at] + w * gone[at], w
+
+    waiting = [(0, i, 0) for i in tasks]
+    ready: list[tuple[int, int, int]] = []
+    heapq.heapify(waiting)
+    for t in range(sum(blocks)):
+        while waiting and waiting[0][0] <= t:
+            _, i, k = heapq.heappop(waiting)
+            over, w = slot(i, k + 1)
+            heapq.heappush(ready, (-(-over // w), i, k))
+            if k + 1 < blocks[i]:
+                heapq.heappush(waiting, (over // w, i, k + 1))
+        yield heapq.heappop(ready)[1]
+
+
 def period(weights: list[int]) -> list[list[int]]:
-    """Slots of each task's jobs in one period of sum(weights) slots: earliest deadline first among released jobs."""
-    total = sum(weights)
-    jobs = sorted((k * total // w, i, k) for i, w in enumerate(weights) for k in range(w))
+    """Slots of each task in one period of sum(weights) slots."""
     slots: list[list[int]] = [[] for _ in weights]
-    ready: list[tuple[int, int]] = []
-    at = 0
-    for t in range(total):
-        while at < len(jobs) and jobs[at][0] <= t:
-            _, i, k = jobs[at]
-            heapq.heappush(ready, (-(-(k + 1) * total // weights[i]), i))
-            at += 1
-        _, i = heapq.heappop(ready)
+    for t, i in enumerate(order(weights, weights)):
         slots[i].append(t)
     return slots
 
 
 class Schedule:
-    """Slot of every block, in phases; a phase ends at the first slot whose source has no block left."""
+    """Slot of every block."""
 
     def __init__(self, blocks: list[int], weights: list[int]):
-        self.phases: list[dict] = []
-        left, done, start = list(blocks), [0] * len(blocks), 0
-        while any(left):
-            live = [i for i, n in enumerate(left) if n]
-            unit = math.gcd(*(weights[i] for i in live))
-            a = [weights[i] // unit for i in live]
-            slots, total = period(a), sum(a)
-            cycles = min(left[i] // w for i, w in zip(live, a, strict=True))
-            rest = [left[i] - cycles * w for i, w in zip(live, a, strict=True)]
-            stop = min((s[r] for s, r in zip(slots, rest, strict=True) if r < len(s)), default=total)
-            used = [cycles * w + int(np.searchsorted(s, stop)) for s, w in zip(slots, a, strict=True)]
-            self.phases.append({"start": start, "total": total, "of": {i: (done[i], w, np.array(s)) for i, w, s in zip(live, a, slots, strict=True)}})
-            for i, n in zip(live, used, strict=True):
-                left[i] -= n
-                done[i] += n
-            start += cycles * total + stop
-        self.length = start
+        self.slots: list[list[int]] = [[] for _ in blocks]
+        for t, i in enumerate(order(blocks, weights)):
+            self.slots[i].append(t)
+        self.length = sum(blocks)
 
     def slot(self, task: int, k: np.ndarray) -> np.ndarray:
         """Slots of blocks k (from 0) of a task."""
-        mine = [(p, *p["of"][task]) for p in self.phases if task in p["of"]]
-        phase = np.searchsorted([first for _, first, _, _ in mine], k, side="right") - 1
-        out = np.empty(len(k), dtype=np.int64)
-        for n in np.unique(phase):
-            p, first, w, slots = mine[n]
-            at = phase == n
-            j = k[at] - first
-            out[at] = p["start"] + j // w * p["total"] + slots[j % w]
-        return out
-
-
-def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, unit: int = PERIOD, seed: int = 11, rows: int = ROWS) -> DataFrame:
+        return np.array(self.slots[task], dtype=np.int64)[k]
+
+
+def plan_of(sizes: DataFrame, weights: dict[str, float] | None, block: int) -> DataFrame:
+    """sizes(source, n) -> (source, block, slot) for every block of every source, by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((s, n) for b in batches for s, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        least = min(weights.values(), default=1.0) if weights is not None else None
+        target = whole([n**TEMPERATURE if weights is None else weights.get(s, least) for s, n in rows])
+        done = [0] * len(rows)
+        who: list[int] = []
+        ks: list[int] = []
+        start = 0
+
+        def rest() -> pa.RecordBatch:
+            at = pa.array(np.arange(start, start + len(who)))
+            return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in who], pa.string()), pa.array(ks, pa.int64()), at], names=["source", "block", "slot"])
+
+        for i in order([-(-n // block) for _, n in rows], target):
+            who.append(i)
+            ks.append(done[i])
+            done[i] += 1
+            if len(who) == 50_000:
+                yield rest()
+                start += len(who)
+                who, ks = [], []
+        yield rest()
+
+    return sizes.repartition(1).mapInArrow(run, "source string, block long, slot long")
+
+
+def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, seed: int = 11, rows: int = ROWS) -> DataFrame:
     """docs with mix_source, mix_block (within the source), mix_slot and mix_position (unique, the place in the mixture).
 
-    weights: target weight of each source; sources without one share a pool that has the least
-    weight. Without weights, the largest sources have count ** 0.5 each and the rest form the pool.
-    Within a source, rows come in the order of a seeded hash of their id. Every row has its place:
-    once a source has run out the others go on at their own ratios. A null source is a source. Rows
-    that repeat an id are placed each. Weights must be positive; they are rounded to multiples of
-    1 / unit of their sum, at least one."""
+    weights: target weight of each source; a source without one has the least of them. Without
+    weights, each source has count ** 0.5. Within a source, rows come in the order of a seeded hash
+    of their id. Every row has its place: once a source has run out the others go on at their own
+    ratios. A null source is a source. Rows that repeat an id are placed each. Weights must be
+    positive."""
     docs = docs.drop("mix_source", "mix_block", "mix_slot", "mix_position")  # of an earlier mixture
-    source, h, bucket, rank, before, n = (free_name(docs, x) for x in ("mix_source", "__hash", "__bucket", "__rank", "__before", "__n"))
+    source, h, bucket, rank, before, n, name, of = (free_name(docs, x) for x in ("mix_source", "__hash", "__bucket", "__rank", "__before", "__n", "__name", "__of"))
     raw = F.coalesce(F.col(source_col).cast("string"), F.lit("\x00null"))
-    if weights is None:
-        counted = docs.groupBy(raw.alias("s")).count()
-        largest = counted.orderBy(F.desc("count"), "s").limit(SOURCES).collect()  # bounded by SOURCES
-        target = {r.s: r["count"] ** TEMPERATURE for r in largest}
-    else:
-        target = {"\x00null" if k is None else k: float(w) for k, w in weights.items()}
-    kept = F.when(raw.isin(list(target)), raw).otherwise(POOL) if target else F.lit(POOL)
-    named = docs.withColumn(source, kept).withColumn(h, F.xxhash64(F.lit(seed), F.col(id_col).cast("string")))
-    sizes = {r[0]: r[1] for r in named.groupBy(source).count().collect()}  # at most the sources of target and the pool
-    bits = max(0, math.ceil(math.log2(max(1, sum(sizes.values()) / rows))))
-    target = {k: target.get(k, min(target.values(), default=1.0)) for k in sorted(sizes)}
-    if any(w <= 0 for w in target.values()):
+    target = None if weights is None else {"\x00null" if k is None else k: float(w) for k, w in weights.items()}
+    if target and not all(0 < w < math.inf for w in target.values()):
         raise ValueError("weights must be positive")
-    total = sum(target.values())
-    units = [max(1, round(unit * w / total)) for w in target.values()]
-    tasks = {k: i for i, k in enumerate(target)}
-    plan = Schedule([-(-sizes[k] // block) for k in target], units)
+    named = docs.withColumn(source, raw).withColumn(h, F.xxhash64(F.lit(seed), F.col(id_col).cast("string")))
+    plan = written(plan_of(named.groupBy(source).count(), target, block), "mix-plan")
+    bits = max(0, math.ceil(math.log2(max(1, plan.count() * block / rows))))
 
     # place within the source: rows before this hash range, and the rank in it
     named = named.withColumn(bucket, F.shiftrightunsigned(F.col(h), 64 - bits) if bits else F.lit(0).cast("long"))
@@ -117,15 +147,8 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, id_co
     ranked = named.withColumn(rank, F.row_number().over(within) - 1).join(ahead, [source, bucket]).withColumn(rank, F.col(rank) + F.col(before))
     out = ranked.withColumn("mix_block", F.floor(F.col(rank) / block))
 
-    @F.pandas_udf("long")
-    def slot_of(name, k):
-        found = np.empty(len(k), dtype=np.int64)
-        for s in name.unique():
-            at = (name == s).to_numpy()
-            found[at] = plan.slot(tasks[s], k.to_numpy()[at])
-        return type(k)(found)
-
-    out = out.withColumn("mix_slot", slot_of(F.col(source), F.col("mix_block"))).withColumn("mix_position", F.col("mix_slot") * block + F.col(rank) % block)
+    plan = plan.toDF(name, of, "mix_slot")
+    out = out.join(plan, (out[source] == plan[name]) & (out["mix_block"] == plan[of])).withColumn("mix_position", F.col("mix_slot") * block + F.col(rank) % block)
     return out.select(*docs.columns, F.col(source).alias("mix_source"), "mix_block", "mix_slot", "mix_position")
 
 

@@ -62,3 +62,36 @@ def test_query_places_each_document(spark):
     got = mixing.op8_mixing(spark, "/root/testdata/sf0.001").collect()
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
     assert len(got) == docs == len({r.mix_position for r in got})
+
+
+def test_each_of_many_sources_has_its_own_weight(spark):
+    # more than 256 sources and blocks of two rows: each stays within one block of its share until the first runs out
+    rows = [(i, f"s{i % 400:03}") for i in range(400 * 20)] + [(10_000 + i, f"t{i % 8}") for i in range(8 * 200)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    got = mixing.mixed(df, block=2).collect()
+    assert len(got) == len(rows) and len({r.mix_position for r in got}) == len(rows)
+    assert {r.mix_source for r in got} == {s for _, s in rows}
+    n = {f"s{i:03}": 20 for i in range(400)} | {f"t{i}": 200 for i in range(8)}
+    total, count, size = sum(c**0.5 for c in n.values()), dict.fromkeys(n, 0), {s: c // 2 for s, c in n.items()}
+    for t, (_, s) in enumerate(sorted({(r.mix_slot, r.mix_source) for r in got})):
+        count[s] += 1
+        assert all(abs(count[x] - n[x] ** 0.5 / total * (t + 1)) < 1 for x in n)
+        if count[s] == size[s]:
+            break
+
+
+def test_shares_hold_after_sources_run_out():
+    random.seed(4)
+    for _ in range(20):
+        w = [random.randint(1, 12) for _ in range(6)]
+        n = [random.randint(1, 60) for _ in w]
+        share = lambda v: [min(x * v, m) for x, m in zip(w, n, strict=True)]  # noqa: B023, E731
+        count = [0] * 6
+        for t, i in enumerate(mixing.order(n, w)):
+            count[i] += 1
+            lo, hi = 0.0, 100.0
+            for _ in range(60):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if sum(share(mid)) < t + 1 else (lo, mid)
+            assert all(abs(c - s) < 1 + 1e-6 for c, s in zip(count, share(hi), strict=True))
+        assert count == n
