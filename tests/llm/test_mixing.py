@@ -80,6 +80,16 @@ def test_each_of_many_sources_has_its_own_weight(spark):
             break
 
 
+def test_given_weights_are_not_rounded():
+    w = mixing.whole([0.00001, 1.0, 0.3])
+    total, count = sum(w), [0, 0, 0]
+    for t, i in enumerate(mixing.order([20_000] * 3, w)):
+        count[i] += 1
+        assert all(abs(c - x * (t + 1) / total) < 1 for c, x in zip(count, w, strict=True))
+        if max(count) == 20_000:
+            break
+
+
 def test_shares_hold_after_sources_run_out():
     random.seed(4)
     for _ in range(20):
