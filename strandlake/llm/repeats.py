@@ -1,4 +1,4 @@
-"""Substring dedup by hashing units of text: lines and paragraphs, cut at sentence ends.
+"""Substring dedup by hashing units of text: lines and paragraphs, cut at sentence ends, and runs of words.
 
 Units are normalised and their digests grouped over the corpus; the earliest occurrence (smallest
 doc_id, then offset) stays and all others are cut out, offsets into the original text retained.
@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 WORDS = 10  # shorter units count only right after a longer one, together with it
+PASSAGE, WINDOW, RUN = 50, 16, 16  # any PASSAGE words hold a whole run: 2 * WINDOW + RUN <= PASSAGE
 BREAK = re.compile(r"[.!?](?=\s)|\n")
 SPANS = "array<struct<s:int,e:int>>"
 
@@ -34,7 +36,7 @@ def units(text: str, least: int = WORDS) -> Iterator[tuple[int, int, bytes]]:
     whole. Where a capital follows a word without one inside a sentence, the rest of the sentence is
     a unit too: a passage set into the middle of another sentence begins so. Short sentences after a
     long one in the same line form a unit whose digest holds the long one's, so that they count as
-    repeated only in that place."""
+    repeated only in that place. Runs of words follow, whatever lines and sentences they cross."""
     line: list[tuple[int, int, list[str]]] = []
     at = 0
     for m in [*BREAK.finditer(text), None]:
@@ -46,6 +48,32 @@ def units(text: str, least: int = WORDS) -> Iterator[tuple[int, int, bytes]]:
             yield from _of_line(text, line, least)
             line = []
         at = stop
+    yield from _runs(text)
+
+
+def _runs(text: str) -> Iterator[tuple[int, int, bytes]]:
+    """Runs between borders that only the words around them set: a border is the least hash of two words among WINDOW.
+
+    From each border a run goes to the first border RUN or more words on. Runs that overlap an equal
+    one are left out, so that a word said over and over keeps its first run."""
+    places = [m.span() for m in re.finditer(r"\S+", text)]
+    if len(places) < PASSAGE:
+        return
+    low = [text[s:e].lower() for s, e in places]
+    h = np.fromiter((crc32(w.encode("utf-8", "surrogatepass")) for w in low), dtype=np.uint64, count=len(low))
+    mixed = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
+    least = np.lib.stride_tricks.sliding_window_view(mixed, WINDOW).argmin(axis=1)
+    borders = np.unique(np.arange(len(least)) + least)
+    to = np.searchsorted(borders, borders + RUN)
+    last: dict[bytes, int] = {}
+    for a, k in zip(borders.tolist(), to.tolist(), strict=True):
+        if k == len(borders):
+            break
+        b = int(borders[k])
+        d = digest(low[a:b], b"run")
+        if last.get(d, 0) <= a:
+            last[d] = b
+            yield places[a][0], places[b - 1][1], d
 
 
 def _ends(text: str, start: int, end: int, words: list[str], least: int) -> list[tuple[int, bytes]]:

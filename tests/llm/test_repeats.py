@@ -69,3 +69,36 @@ def test_query_matches_brute_force(spark):
     want = {d: (n, ",".join(f"{s}:{e}" for s, e in cuts), len(t or "")) for d, t, cuts, n in brute(docs, repeats.WORDS)}
     rows = repeats.op9_repeats(spark, "/root/testdata/sf0.001").collect()
     assert {r.doc_id: (r.units, r.removed, r.kept_chars) for r in rows} == want and len(rows) == len(docs)
+
+
+def words(n):
+    return [random.choice("bcdfglmnprst") + random.choice("aeiou") + random.choice("bdklmnrst") + str(random.randrange(50)) for _ in range(n)]
+
+
+def test_passages_of_fifty_words_are_found_wherever_they_stand(spark):
+    random.seed(13)
+    own = lambda: " ".join(words(12))
+    rows, passages = [], []
+    for i in range(30):
+        w = words(random.randint(50, 90))
+        short = [" ".join(w[k : k + 7]) for k in range(0, len(w), 7)]
+        passage = ["\n".join(short), ". ".join(short) + ".", " ".join(w)][i % 3]  # short lines, short sentences, one sentence without a capital
+        hosts = [f"{own()}.\n{passage}\n{own()}.", f"{own()} {passage} {own()}.", f"Short own one. {passage} and {own()}. Then so."]
+        random.shuffle(hosts)
+        rows += [(10 * i + k, t) for k, t in enumerate(hosts)]
+        passages.append(set(w))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in repeats.without_repeats(df).collect()}
+    for i, mine in enumerate(passages):
+        assert got[10 * i].text == rows[3 * i][1]
+        for k in (1, 2):
+            r, text = got[10 * i + k], rows[3 * i + k][1]
+            stays = [x for x in r.text.split() if x.lower().strip(".") in mine]
+            assert r.removed and len(stays) <= len(mine) - repeats.RUN
+            gone = [x for s in r.removed for x in text[s.s : s.e].split()]
+            assert all(x.strip(".") in mine for x in gone)  # nothing of the host's own goes
+
+
+def test_a_word_over_and_over_keeps_its_first_run(spark):
+    df = spark.createDataFrame([(1, "w " * 200)], "doc_id long, text string")
+    assert len(repeats.without_repeats(df).first().text.split()) >= repeats.RUN
