@@ -1,13 +1,19 @@
 """Best-fit packing of token pieces into sequences, by hierarchical residual packing.
 
-Items are dealt evenly over nodes. Each node packs its own best-fit (decreasing) and emits the bins
-that are nearly full; bins with room left go up a tree as single items, a few nodes to each next
-one, for another best-fit round, until one node is left, which emits all it has.
+Items are dealt over nodes, evenly or by ranges of a place. Each node packs its own best-fit
+(decreasing) and emits the bins that are nearly full; bins with room left go up a tree as items of
+their own, a few nodes to each next one, for another best-fit round, until one node is left.
+
+Best-fit leaves at most one bin of a node half full or less, and two bins over half full never go
+together. So no more bins can find a host, in the whole tree, than there are first nodes, and a node
+hands up that many of its fuller bins, those with most room: more would save no sequence. Only bins
+travel in these rounds; items follow by one join with the bins that moved.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -18,13 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import salt_of, table, written
+from .common import free_name, salt_of, table, written
 
 CAPACITY = 2048
 NODE = 20_000  # items of a node in the first round
 FAN_IN = 8
 SLACK = 8  # a bin with so few places left is nearly full
-CARRY = 4096  # bins that a node hands up at most, those with most room; it emits the others
 END = 0  # id after each document
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -47,27 +52,29 @@ def _bytes_of_characters() -> dict[str, int]:
 
 @cache
 def encoder(path: str):
-    """text -> ids of the tokenizer file at path; special tokens' strings are ordinary text.
+    """text -> ids of the tokenizer file at path, as its library gives them by default: strings of added tokens are those tokens.
 
-    Where ids follow the order of the merges, the same merges run by rank in tiktoken, several times
-    as fast; any other file runs in its own library."""
+    Where ids follow the order of the merges, texts without such a string run by rank in tiktoken,
+    several times as fast; all else runs in the library itself."""
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path)
+    plain = lambda text: own.encode(text, add_special_tokens=False).ids
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     model, pre = spec["model"], spec.get("pre_tokenizer") or {}
     merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model.get("merges", [])]
     vocab = model["vocab"]
     simple = model.get("type") == "BPE" and not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not model.get("ignore_merges") and not model.get("dropout")
-    if simple and all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(merges)):
-        import tiktoken
-
-        of = _bytes_of_characters()
-        ranks = {bytes(of[c] for c in t): i for t, i in vocab.items() if i < 256 + len(merges)}
-        return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    from tokenizers import Tokenizer
+    if not simple or not all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(merges)):
+        return plain
+    import tiktoken
 
-    own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
-    return lambda text: own.encode(text, add_special_tokens=False).ids
+    of = _bytes_of_characters()
+    ranks = {bytes(of[c] for c in t): i for t, i in vocab.items() if i < 256 + len(merges)}
+    fast = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    added = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens", [])) or r"(?!)")
+    return lambda text: plain(text) if added.search(text) else fast(text)
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -125,55 +132,92 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return where, offset, np.array(used, dtype=np.int64)
 
 
-def one_round(depth: int, last: bool, capacity: int, fan_in: int, slack: int, carry: int):
-    """What a node does in a round: best-fit over its bins, then which of them stay."""
+def first_round(node: str, length: str, bin_: str, at: str, capacity: int):
+    """Best-fit over a node's items."""
 
     def fit(key: tuple, t: pa.Table) -> pa.Table:
-        of = key[0].as_py()
-        old, at = np.unique(t["bin"].to_numpy(), return_inverse=True)
+        size = t[length].to_numpy().astype(np.int64)
+        order = np.lexsort((np.arange(len(size)), -size))
+        where, offset = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
+        where[order], offset[order], _ = best_fit(size[order], capacity)
+        return t.drop_columns([node]).append_column(bin_, pa.array(where + (key[0].as_py() << 31))).append_column(at, pa.array(offset))
+
+    return fit
+
+
+def next_round(last: bool, capacity: int, fan_in: int, slack: int, carry: int):
+    """What a node does with bins (node, bin, length, to, base): those of one `to` lie in one bin, which is named after its first.
+
+    done: the bin stays as it is."""
+
+    def fit(key: tuple, t: pa.Table) -> pa.Table:
+        old, at = np.unique(t["to"].to_numpy(), return_inverse=True)
         size = np.bincount(at, t["length"].to_numpy()).astype(np.int64)
         order = np.lexsort((old, -size))
         where, base, used = best_fit(size[order], capacity)
+        host = old[order][np.unique(where, return_index=True)[1]]  # bins are opened in order
         new, start = np.empty_like(where), np.empty_like(base)
         new[order], start[order] = where, base
         room = capacity - used
-        up = np.lexsort((np.arange(len(room)), -room))[:carry]
+        small = 2 * used <= capacity
+        up = np.flatnonzero(room > slack)
+        up = up[np.lexsort((host[up], -room[up], ~small[up]))]
         stays = np.ones(len(room), dtype=bool)
-        stays[up[room[up] > slack]] = last
-        sequence = (depth << 56) + (of << 28) + new[at]
-        t = t.set_column(t.schema.get_field_index("bin"), "bin", pa.array(sequence))
-        t = t.set_column(t.schema.get_field_index("offset"), "offset", pa.array(t["offset"].to_numpy() + start[at]))
-        t = t.set_column(t.schema.get_field_index("node"), "node", pa.array(np.full(len(at), of // fan_in)))
-        return t.append_column("done", pa.array(stays[new[at]]))
+        stays[up[: int(small[up].sum()) + carry]] = last
+        return pa.table({"node": np.full(len(at), key[0].as_py() // fan_in), "bin": t["bin"], "length": t["length"], "to": host[new[at]], "base": t["base"].to_numpy() + start[at], "done": stays[new[at]]})
 
     return fit
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, node: int = NODE, fan_in: int = FAN_IN, slack: int = SLACK, carry: int = CARRY) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, node: int = NODE, fan_in: int = FAN_IN, slack: int = SLACK, place: str | None = None) -> DataFrame:
     """Adds sequence_id and offset to items(row long unique, length long from 1 to capacity, ...).
 
     Every item is placed whole, offsets are gapless from 0 and no sequence exceeds the capacity. The
-    result depends on the rows alone. An empty table gives none."""
-    items = written(items, "pieces")
+    result depends on the rows alone (row numbers included). place: a column of numbers from 0 up;
+    nodes are even ranges of it, and sequence_id follows it from node to node. Items of length 0 or
+    over the capacity are not allowed. Other columns may have any names; only an input's own
+    sequence_id and offset are replaced. An empty table gives none."""
+    items = written(items.drop("sequence_id", "offset"), "pieces")
     rest = [c for c in items.columns if c != "row"]
-    nodes = max(1, -(-items.count() // node))
-    level = items.withColumns({"node": salt_of(F.col("row"), nodes).cast("long"), "bin": F.col("row"), "offset": F.lit(0).cast("long")})
-    done = None
-    for depth in range(60):
-        last = nodes == 1
-        kinds = ", ".join(f"`{n}` {k}" for n, k in level.dtypes)
-        fitted = written(level.groupBy("node").applyInArrow(one_round(depth, last, capacity, fan_in, slack, carry), f"{kinds}, done boolean"), f"packed-{depth}")
-        part = fitted.where("done")
-        done = part if done is None else done.unionByName(part)
+    facts = items.agg(F.count("*").alias("n"), F.max(place or F.lit(0)).alias("top")).first()
+    nodes = max(1, -(-facts.n // node))
+    of, bin_, at = (free_name(items, x) for x in ("__node", "__bin", "__at"))
+    number = F.expr(f"cast(least(greatest(coalesce(`{place}`, 0), 0) * {nodes} div {(facts.top or 0) + 1}, {nodes - 1}) as long)") if place else salt_of(F.col("row"), nodes).cast("long")
+    kinds = ", ".join(f"`{n}` {k}" for n, k in items.dtypes)
+    packed_ = written(items.withColumn(of, number).groupBy(of).applyInArrow(first_round(of, "length", bin_, at, capacity), f"{kinds}, `{bin_}` long, `{at}` long"), "packed")
+    named = [F.col(c) for c in ("row", *rest)]
+    if nodes == 1:
+        return packed_.select(*named, F.col(bin_).alias("sequence_id"), F.col(at).alias("offset"))
+    bins = packed_.groupBy(F.col(bin_).alias("bin")).agg(F.sum("length").cast("long").alias("length")).where(F.col("length") < capacity - slack)
+    level = bins.select(F.floor(F.shiftright("bin", 31) / fan_in).alias("node"), "bin", "length", F.col("bin").alias("to"), F.lit(0).cast("long").alias("base"))
+    moved, left = None, -(-nodes // fan_in)
+    while True:
+        last = left == 1
+        fitted = written(level.groupBy("node").applyInArrow(next_round(last, capacity, fan_in, slack, nodes), "node long, bin long, length long, to long, base long, done boolean"), "packed-bins")
+        part = fitted.where("done and bin <> to").select("bin", "to", "base")
+        moved = part if moved is None else moved.unionByName(part)
         if last:
             break
-        level = fitted.where("not done").drop("done")
-        nodes = -(-nodes // fan_in)
-    return done.select("row", *rest, F.col("bin").alias("sequence_id"), "offset")
-
-
-def packed(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:
-    return pack(pieces(docs, capacity, path, with_ids=with_ids), capacity).drop("row")
+        level, left = fitted.where("not done").drop("done"), -(-left // fan_in)
+    old, new, base = (free_name(packed_, x) for x in ("__old", "__new", "__base"))
+    moved = written(moved.toDF(old, new, base), "packed-moved")  # at most a row for each first node
+    joined = packed_.join(moved, packed_[bin_] == moved[old], "left")
+    return joined.select(*named, F.coalesce(new, bin_).alias("sequence_id"), (F.col(at) + F.coalesce(base, F.lit(0))).alias("offset"))
+
+
+def packed(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False, places: DataFrame | None = None) -> DataFrame:
+    """Pieces of docs(doc_id, text) with sequence_id and offset.
+
+    places(doc_id, place): documents are packed with those near them in that order, one row for each
+    doc_id; documents without a place come first. Null and empty texts are one end id each. Rows that
+    repeat a doc_id are packed each. Texts of any length are cut only where they exceed the capacity.
+    Other columns of docs are not read. An empty table gives none."""
+    found = pieces(docs, capacity, path, with_ids=with_ids)
+    if places is None:
+        return pack(found, capacity).drop("row")
+    where = places.select(F.col("doc_id").cast("long").alias("id_"), F.col("place").cast("long").alias("place"))
+    found = found.join(where, found["doc_id"].eqNullSafe(where["id_"]), "left").drop("id_")
+    return pack(found, capacity, place="place").drop("row", "place")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

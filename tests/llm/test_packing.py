@@ -4,12 +4,12 @@ import zlib
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from strandlake.llm import packing
 
 OWN = Tokenizer.from_file(packing.tokenizer_path())
-OWN.encode_special_tokens = True
 
 
 @settings(max_examples=300, deadline=None)
@@ -19,7 +19,7 @@ def test_ids_equal_the_tokenizer_files_own(text):
 
 
 def test_ids_of_special_strings_and_long_words():
-    for text in ("<|endoftext|> a <|endoftext|>", "a" * 5000, " \n\n \t x", "don't I'll 'S", "é" * 300 + "١٢٣", "   　x", " " * 3000 + "b"):
+    for text in ("<|endoftext|> a <|endoftext|>", "a <|endoftext|> b", "<|endoftext", "a" * 5000, " \n\n \t x", "don't I'll 'S", "é" * 300 + "١٢٣", "   　x", " " * 3000 + "b"):
         assert packing.encoder(packing.tokenizer_path())(text) == OWN.encode(text, add_special_tokens=False).ids
 
 
@@ -54,6 +54,30 @@ def test_tree_of_rounds_packs_whole_and_tight(spark):
     assert n <= whole * 1.03
 
 
+def test_bins_that_all_have_room_lose_no_sequence(spark):
+    """Items over half the capacity never go together: every bin has room, and one small item of each node seeks a host."""
+    random.seed(4)
+    sizes = [random.randint(51, 90) for _ in range(2000)] + [random.randint(10, 49) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "row long, length long").withColumns({c: F.lit(7) for c in ("node", "bin", "__bin", "to", "base", "done", "offset")})
+    out = packing.pack(df, 100, node=50, fan_in=3, slack=1)
+    rows = out.collect()
+    assert check(rows, 100) == len(packing.best_fit(np.array(sorted(sizes, reverse=True)), 100)[2]) == 2000
+    assert {c: rows[0][c] for c in ("node", "bin", "__bin", "to", "base", "done")} == dict.fromkeys(("node", "bin", "__bin", "to", "base", "done"), 7)
+
+
+def test_places_are_followed(spark):
+    random.seed(6)
+    df = spark.createDataFrame([(i, random.randint(1, 60), i) for i in range(4000)], "row long, length long, at long")
+    rows = packing.pack(df, 100, node=200, fan_in=4, slack=1, place="at").collect()
+    check(rows, 100)
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append(r["at"])
+    low = [min(v) for _, v in sorted(by.items())]
+    for i in range(len(low)):
+        assert min(low[i:]) // 200 >= low[i] // 200 or len([x for x in low[i:] if x // 200 < low[i] // 200]) <= 20
+
+
 def test_query_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
     rows = packing.op4_packing(spark, "/root/testdata/sf0.001").collect()
