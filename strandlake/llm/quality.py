@@ -1,9 +1,12 @@
 """Quality classifier with hierarchical empirical Bayes.
 
 A logistic model of text features gives each document its own evidence. Over all documents, that
-evidence is summed by path and by host; a path's posterior is shrunk toward its host's, a host's
-toward the global prior, the more the fewer documents stand behind it. The final log-odds are the
-document's plus what its path's posterior adds to the prior.
+evidence is summed by path and by host. How much paths differ within hosts, and hosts from each
+other, beyond what chance within them explains, is estimated from those sums (method of moments, a
+nested analysis of variance); the ratio of the two is a prior's strength in documents. A path's
+posterior is shrunk toward its host's, a host's toward the global prior, the more the fewer
+documents stand behind it. The path's posterior, made without the document itself, takes the place
+of the global prior in the document's odds.
 """
 
 from __future__ import annotations
@@ -25,9 +28,9 @@ FEATURES = (
 )
 SYMBOLS = frozenset("#$%&*|~^<>{}[]\\@_=+")
 SAMPLE = 20_000  # labelled rows that the model is fitted on at most
-HOST_PRIOR, PATH_PRIOR = 20.0, 20.0  # documents' worth of prior at either level
-SHARE = 0.25  # weight of the path's posterior beside the document's own evidence
 KEEP = 0.5
+EDGE = 1e-4  # posteriors stay so far from 0 and 1
+PATHS = 200_000  # so many paths may be broadcast; more are joined by a shuffle
 CLIP = 12.0
 
 
@@ -125,41 +128,104 @@ def fit(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
 
 
 def log_odds(p: Column) -> Column:
+    p = F.least(F.greatest(p, F.lit(EDGE)), F.lit(1 - EDGE))
     return F.log(p / (1 - p))
 
 
-def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", host_prior: float = HOST_PRIOR, path_prior: float = PATH_PRIOR, share: float = SHARE, keep: float = KEEP, sample: int = SAMPLE) -> DataFrame:
+def strengths(paths: DataFrame) -> tuple[float, float, float]:
+    """(global mean, prior strength of hosts, of paths) from paths(host, path, n, s, q): count, sum and sum of squares of the evidence.
+
+    Strengths are in documents; infinite where groups differ no more than chance explains."""
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum(F.col("n") * F.col("n")).alias("nn"))
+    p = paths.agg(F.count("*").alias("p"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("ps"), F.sum("q").alias("q"), F.sum(F.col("n").cast("double") * F.col("n")).alias("pnn")).first()
+    h = hosts.agg(F.count("*").alias("h"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("hs"), F.sum(F.col("nn") / F.col("n")).alias("hnn"), F.sum(F.col("n").cast("double") * F.col("n")).alias("nn")).first()
+    if not h.n:
+        return 0.5, math.inf, math.inf
+    mean = (h.s + 1) / (h.n + 2)
+    if h.n <= p.p:
+        return mean, math.inf, math.inf
+    within = max((p.q - p.ps) / (h.n - p.p), 1e-12)
+    of_path = of_host = 0.0
+    if p.p > h.h:
+        of_path = max(0.0, ((p.ps - h.hs) / (p.p - h.h) - within) / ((h.n - h.hnn) / (p.p - h.h)))
+    if h.h > 1:
+        of_host = max(0.0, ((h.hs - h.s**2 / h.n) / (h.h - 1) - within - (h.hnn - p.pnn / h.n) / (h.h - 1) * of_path) / ((h.n - h.nn / h.n) / (h.h - 1)))
+    ratio = lambda v: within / v if v > 0 else math.inf
+    return mean, ratio(of_host), ratio(of_path)
+
+
+def shrunk(s: Column, n: Column, toward: Column, strength: float) -> Column:
+    """Mean of n values of sum s, drawn toward another by `strength` values' worth."""
+    if strength == math.inf:
+        return toward
+    return F.when(n > 0, (s + strength * toward) / (n + strength)).otherwise(toward)
+
+
+class Judge:
+    """The fitted model and the posteriors of all paths and hosts of some documents."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host_col: str, path_col: str, sample: int, keep: float):
+        self.text, self.keep = text_col, keep
+        self.host, self.path = (F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in (host_col, path_col))
+        base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), self.host.alias("host"), self.path.alias("path"))
+        rows = written(feature_table(base), "features")
+        model = self.model = fit(rows, labels, sample)
+
+        @F.pandas_udf("double")
+        def logit(x):
+            return type(x)(model.logit(np.array(x.tolist(), dtype=float).reshape(len(x), len(FEATURES))))
+
+        @F.pandas_udf("double")
+        def logit_of(x):
+            return type(x)(model.logit(np.array([features(t) for t in x]).reshape(len(x), len(FEATURES))))
+
+        self.logit_of = logit_of
+        self.own = written(rows.select("doc_id", "host", "path", logit("x").alias("logit")), "evidence")
+        p = chance(F.col("logit"))
+        sums = written(self.own.groupBy("host", "path").agg(F.sum(p).alias("s"), F.count("*").alias("n"), F.sum(p * p).alias("q")), "paths")
+        self.mean, self.of_host, self.of_path = strengths(sums)
+        hosts = sums.groupBy("host").agg(F.sum("s").alias("hs"), F.sum("n").alias("hn"))
+        paths = sums.join(hosts, "host").select(F.struct("host", "path").alias("at"), F.struct("s", "n", "hs", "hn").alias("sums"))
+        self.paths = F.broadcast(paths) if sums.count() <= PATHS else paths
+
+    def score(self, df: DataFrame, logit: Column, host: Column, path: Column) -> tuple[DataFrame, dict[str, Column]]:
+        """(df joined with its paths, the columns evidence, host_posterior, path_posterior, score and keep)."""
+        at, sums, own = (free_name(df, x) for x in ("__at", "__sums", "__logit"))
+        paths = self.paths.toDF(at, sums)
+        df = df.withColumn(own, logit)
+        df = df.join(paths, F.struct(host.alias("host"), path.alias("path")) == paths[at])
+        s, n, hs, hn = (F.col(sums)[x] for x in ("s", "n", "hs", "hn"))
+        p, g = chance(F.col(own)), F.lit(self.mean)
+        host_posterior = shrunk(hs, hn, g, self.of_host)
+        without = shrunk(s - p, n - 1, shrunk(hs - p, hn - 1, g, self.of_host), self.of_path)
+        score = chance(F.col(own) + log_odds(without) - log_odds(g))
+        keep = F.lit(True) if self.model.single else score >= self.keep
+        return df, {"evidence": p, "host_posterior": host_posterior, "path_posterior": shrunk(s, n, host_posterior, self.of_path), "score": score, "keep": keep}
+
+
+def chance(logit: Column) -> Column:
+    return 1 / (1 + F.exp(-logit))
+
+
+def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", keep: float = KEEP, sample: int = SAMPLE) -> DataFrame:
     """One row per input row: doc_id, evidence (the model's probability), host_posterior, path_posterior, score, keep.
 
-    Null or empty text has no evidence beyond its zero features. A null host or path is a host or
-    path of its own. Without labels, or with one kind only, the evidence is even and all is kept.
-    Labels that contradict each other all count. Rows that repeat a doc_id are scored each. An
-    empty table gives none."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(host_col).cast("string"), F.lit("\x00")).alias("host"), F.coalesce(F.col(path_col).cast("string"), F.lit("\x00")).alias("path"))
-    rows = written(feature_table(base), "features")
-    model = fit(rows, labels, sample)
-
-    @F.pandas_udf("double")
-    def logit(x):
-        return type(x)(model.logit(np.array(x.tolist(), dtype=float).reshape(len(x), len(FEATURES))))
-
-    own = written(rows.select("doc_id", "host", "path", logit("x").alias("logit")).withColumn("evidence", 1 / (1 + F.exp(-F.col("logit")))), "evidence")
-    by_path = own.groupBy("host", "path").agg(F.sum("evidence").alias("s"), F.count("*").alias("n"))
-    by_host = by_path.groupBy("host").agg(F.sum("s").alias("hs"), F.sum("n").alias("hn"))
-    all_ = by_host.agg(((F.coalesce(F.sum("hs"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("hn"), F.lit(0)) + 2)).alias("g")).first().g
-    hosts = by_host.select("host", ((F.col("hs") + host_prior * all_) / (F.col("hn") + host_prior)).alias("host_posterior"))
-    paths = by_path.join(hosts, "host").select("host", "path", "host_posterior", ((F.col("s") + path_prior * F.col("host_posterior")) / (F.col("n") + path_prior)).alias("path_posterior"))
-    out = own.join(paths, ["host", "path"]).withColumn("total", F.col("logit") + share * (log_odds(F.col("path_posterior")) - math.log(all_ / (1 - all_))))
-    out = out.withColumn("score", 1 / (1 + F.exp(-F.col("total"))))
-    kept = F.lit(True) if model.single else F.col("score") >= keep
-    return out.select("doc_id", "evidence", "host_posterior", "path_posterior", "score", kept.alias("keep"))
-
-
-def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """docs without the rows that the classifier rejects; all columns stay."""
-    name = free_name(docs, "__id")
-    bad = scored(docs, labels, id_col, **how).groupBy("doc_id").agg(F.max("keep").alias("keep")).where(~F.col("keep")).select(F.col("doc_id").alias(name))
-    return docs.join(bad, docs[id_col].eqNullSafe(bad[name]), "left_anti")
+    Null or empty text has zero features; very long texts are read whole. A null host or path is a
+    host or path of its own. Without labels, or with one kind only, the evidence is even and all is
+    kept. Labels that contradict each other all count. Rows that repeat a doc_id are scored each.
+    Other columns are not read, whatever their names. An empty table gives none."""
+    judge = Judge(docs, labels, id_col, text_col, host_col, path_col, sample, keep)
+    df, found = judge.score(judge.own, F.col("logit"), F.col("host"), F.col("path"))
+    return df.select("doc_id", *[c.alias(n) for n, c in found.items()])
+
+
+def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", keep: float = KEEP, sample: int = SAMPLE) -> DataFrame:
+    """docs without the rows that the classifier rejects; all columns stay, and rows stay where they are.
+
+    Features are computed again beside the text, so that no text is shuffled."""
+    judge = Judge(docs, labels, id_col, text_col, host_col, path_col, sample, keep)
+    df, found = judge.score(docs, judge.logit_of(F.col(text_col).cast("string")), judge.host, judge.path)
+    return df.where(found["keep"]).select(*docs.columns)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
