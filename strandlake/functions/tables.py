@@ -2,19 +2,43 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_folders: dict[str, SparkSession] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset; by application."""
+    """A folder of this application in spark.checkpoint.dir.
+
+    Where that is unset, a local session makes a temporary folder of its own; on a cluster it is an
+    error, since executors don't share local folders. The folder goes when the session's Python ends."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandlake-"))
         found = spark.sparkContext.getCheckpointDir()
-    return f"{found.rstrip('/')}/{spark.sparkContext.applicationId}"
+    folder = f"{found.rstrip('/')}/{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders[folder] = spark
+        atexit.register(_clear, folder)
+    return folder
+
+
+def _clear(folder: str) -> None:
+    spark = _folders.pop(folder)
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        remove(spark, folder)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, in whatever store it lies."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def shared_path(spark: SparkSession, label: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,9 +17,10 @@ def row_sites(shared: DataFrame, n_variants: int) -> DataFrame:
 
 def interval_table(rows: DataFrame) -> DataFrame:
     """(row, start, num): the interval from each row to the next and how many sites it holds; the last holds its end."""
-    order = Window.orderBy("row")  # typed sites of one chromosome
-    out = rows.withColumn("next", F.lead("site").over(order)).withColumn("last", F.lead("row", 2).over(order).isNull()).where("next is not null")
-    return out.select("row", F.col("site").alias("start"), (F.col("next") - F.col("site") + F.col("last").cast("int")).alias("num"))
+    after = rows.select((F.col("row") - 1).alias("row"), F.col("site").alias("next"))
+    last = rows.agg((F.max("row") - 1).alias("last"))  # one row
+    out = rows.join(after, "row").join(F.broadcast(last), F.col("row") == F.col("last"), "left")
+    return out.select("row", F.col("site").alias("start"), (F.col("next") - F.col("site") + F.col("last").isNotNull().cast("int")).alias("num"))
 
 
 def site_intervals(intervals: DataFrame) -> DataFrame:
@@ -28,9 +29,9 @@ def site_intervals(intervals: DataFrame) -> DataFrame:
     return some.select("row", "num", "start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("num") - 1)).alias("k")).select((F.col("start") + F.col("k")).alias("site"), "row", "k", "num")
 
 
-def interval_weights(weights: DataFrame, intervals: DataFrame, column: str = "pruned") -> DataFrame:
+def interval_weights(weights: DataFrame, intervals: DataFrame) -> DataFrame:
     """(target_hap, row, ref_hap, w0, w1, num): weights at both ends of each interval, over haplotypes that have one at either."""
-    w = weights.where(F.col(column) > 0).select("target_hap", "row", "ref_hap", F.col(column).alias("w"))
+    w = weights.select("target_hap", "row", "ref_hap", "w")
     zero = F.lit(0.0)
     ends = F.explode(F.array(F.struct(F.col("row").alias("row"), F.col("w").alias("w0"), zero.alias("w1")), F.struct((F.col("row") - 1).alias("row"), zero.alias("w0"), F.col("w").alias("w1"))))
     both = w.select("target_hap", "ref_hap", ends.alias("e")).select("target_hap", "ref_hap", "e.row", "e.w0", "e.w1")

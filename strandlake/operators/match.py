@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MIN_LENGTH, FORWARD, BACKWARD = 5, 450, 60
-BATCH_BYTES = 32 << 20  # of target alleles that one pass over the panel compares with
+BLOCK_BYTES = 32 << 20  # of the alleles of a block of panel or target haplotypes
 
 
 def packed(alleles: DataFrame, site: str = "n") -> DataFrame:
@@ -31,45 +29,42 @@ def run_lengths(panel: np.ndarray, target: np.ndarray, least: int) -> tuple[np.n
     return row[:-1][keep], at[:-1][keep], length[keep]
 
 
-def runs(panel: DataFrame, targets: DataFrame, least: int = MIN_LENGTH, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def _blocks(haps: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """(haps with their block, number of blocks): blocks hold about block_bytes of alleles."""
+    total = haps.agg(F.coalesce(F.sum(F.length("bits").cast("long")), F.lit(0)).alias("n")).first().n
+    n = max(1, -(-total // block_bytes))
+    return haps.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "hap"), F.lit(n))), n
+
+
+def runs(panel: DataFrame, targets: DataFrame, least: int = MIN_LENGTH, block_bytes: int = BLOCK_BYTES, parts: int = 8) -> DataFrame:
     """(target_hap, ref_hap, start, len) of every maximal run of `least` sites or more.
 
-    The panel is scanned where it lies. Targets are held in batches of bounded size, one pass over
-    the panel for each; panel and targets have equal sites."""
-    out = None
-    for some in _batches(targets, batch_bytes):
-        part = panel.mapInArrow(_matcher(some, least), "target_hap int, ref_hap int, start int, len int")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else panel.sparkSession.createDataFrame([], "target_hap int, ref_hap int, start int, len int")
-
-
-def _batches(targets: DataFrame, batch_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
-    held: list[tuple[int, bytes]] = []
-    size = 0
-    for r in targets.select("hap", "bits").orderBy("hap").toLocalIterator():
-        held.append((r.hap, r.bits.encode()))
-        size += len(r.bits)
-        if size >= batch_bytes:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
-def _matcher(targets: list[tuple[int, bytes]], least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hap = np.array(b["hap"].to_pylist(), dtype=np.int32)
-            bits = [x.encode() for x in b["bits"].to_pylist()]
-            step = max(1, (4 << 20) // max(1, len(bits[0]) if bits else 1))
+    Panel and targets (of equal sites) are cut into blocks of bounded size, and every pair of blocks
+    is a task of its own, so neither side is ever held whole, on the driver or in a task. Small
+    panels are cut into `parts` blocks at least, to keep the executors busy."""
+    bytes_ = panel.agg(F.coalesce(F.sum(F.length("bits").cast("long")), F.lit(0)).alias("n")).first().n
+    left, n = _blocks(panel, max(1, min(block_bytes, -(-bytes_ // parts))))
+    right, m = _blocks(targets, block_bytes)
+    left = left.withColumn("pair", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).withColumn("pair", F.col("block") * m + F.col("pair"))
+    right = right.withColumn("pair", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("pair", F.col("pair") * m + F.col("block"))
+
+    def match(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        found = [[np.zeros(0, np.int32)] for _ in schema.names]
+        if a.num_rows and b.num_rows:
+            hap = a["hap"].to_numpy().astype(np.int32)
+            bits = [x.encode() for x in a["bits"].to_pylist()]
+            own = [x.encode() for x in b["bits"].to_pylist()]
+            step = max(1, (4 << 20) // max(1, len(bits[0])))
             for at in range(0, len(bits), step):
                 some = np.frombuffer(b"".join(bits[at : at + step]), dtype=np.uint8).reshape(len(bits[at : at + step]), -1)
-                for t, own in targets:
-                    row, start, length = run_lengths(some, np.frombuffer(own, dtype=np.uint8), least)
-                    if len(row):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), t, np.int32)), pa.array(hap[at : at + step][row]), pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32))], names=["target_hap", "ref_hap", "start", "len"])
-
-    return run
+                for t, x in zip(b["hap"].to_pylist(), own, strict=True):
+                    row, start, length = run_lengths(some, np.frombuffer(x, dtype=np.uint8), least)
+                    for c, v in zip(found, (np.full(len(row), t), hap[at : at + step][row], start, length), strict=True):
+                        c.append(v.astype(np.int32))
+        return pa.table([np.concatenate(c) for c in found], schema=schema)
+
+    schema = pa.schema([(c, pa.int32()) for c in ("target_hap", "ref_hap", "start", "len")])
+    return left.select("pair", "hap", "bits").groupBy("pair").cogroup(right.select("pair", "hap", "bits").groupBy("pair")).applyInArrow(match, "target_hap int, ref_hap int, start int, len int")
 
 
 def best_forward(found: DataFrame, panel: DataFrame, targets: DataFrame, cap: int = FORWARD) -> DataFrame:

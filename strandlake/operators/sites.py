@@ -23,9 +23,17 @@ def mask(sites: DataFrame, shared: DataFrame, row: str = "site") -> DataFrame:
     return sites.select(row).join(shared.select(row).withColumn("one", F.lit(1)), row, "left").select(row, F.coalesce("one", F.lit(0)).alias("keep"))
 
 
-def dense(sites: DataFrame, *by: str, within: tuple[str, ...] = ("chrom",)) -> DataFrame:
-    """Adds n, the rank from 0 in the order of `by` (the site number) within each chromosome."""
-    return sites.withColumn("n", F.row_number().over(Window.partitionBy(*within).orderBy(*(by or ("site",)))) - 1)
+def dense(sites: DataFrame, *by: str, within: tuple[str, ...] = ("chrom",), width: int = 1 << 16) -> DataFrame:
+    """Adds n, the rank from 0 in the order of `by` (the site number) within each chromosome.
+
+    The first of `by` is a number; ranges of `width` of it are ranked in one piece each, and ranges
+    are summed up, so that no task holds a whole chromosome."""
+    by = by or ("site",)
+    at = sites.withColumn("__range", F.floor(F.col(by[0]) / width))
+    before = Window.partitionBy(*within).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = at.groupBy(*within, "__range").agg(F.count("*").alias("__n")).withColumn("__ahead", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    local = at.withColumn("__local", F.row_number().over(Window.partitionBy(*within, "__range").orderBy(*by)) - 1)
+    return local.join(ahead, [*within, "__range"]).select(*sites.columns, (F.col("__ahead") + F.col("__local")).cast("int").alias("n"))
 
 
 def mismatched(panel_shared: DataFrame, target_shared: DataFrame) -> DataFrame:
@@ -34,9 +42,9 @@ def mismatched(panel_shared: DataFrame, target_shared: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("panel")).unionByName(b.exceptAll(a).withColumn("side", F.lit("target")))
 
 
-def merge(panel: DataFrame, target: DataFrame, n_panel: int) -> DataFrame:
-    """Panel and target alleles as one table; target haplotypes follow the panel's."""
-    return panel.select("site", "hap", "allele").unionByName(target.select("site", (F.col("hap") + n_panel).alias("hap"), "allele"))
+def merge(panel: DataFrame, target: DataFrame, first: int) -> DataFrame:
+    """Panel and target alleles as one table; target haplotypes follow the panel's, from number `first` on."""
+    return panel.select("site", "hap", "allele").unionByName(target.select("site", (F.col("hap") + first).alias("hap"), "allele"))
 
 
 def select_samples(alleles: DataFrame, samples: DataFrame, names: list[str]) -> DataFrame:
@@ -49,17 +57,24 @@ def select_samples(alleles: DataFrame, samples: DataFrame, names: list[str]) ->
     return out.select("sample_id", (F.col("k") * 2 + F.col("hap") % 2).cast("int").alias("hap"), "site", "allele")
 
 
-def rows_at(alleles: DataFrame, i: int) -> DataFrame:
-    return alleles.where(F.col("site") == i)
+def rows_at(alleles: DataFrame, i: int, chunk_size: int | None = None) -> DataFrame:
+    """chunk_size: of a store whose partition column is chunk; only site i's chunk is read then."""
+    out = alleles.where(F.col("site") == i)
+    return out if chunk_size is None else out.where(F.col("chunk") == i // chunk_size)
+
 
+def rows_between(alleles: DataFrame, start: int | None = None, stop: int | None = None, step: int = 1, chunk_size: int | None = None) -> DataFrame:
+    """Global slice semantics over non-negative sites; a negative step only reverses the order, which rows don't have.
 
-def rows_between(alleles: DataFrame, start: int | None = None, stop: int | None = None, step: int = 1) -> DataFrame:
-    """Global slice semantics over non-negative sites; a negative step only reverses the order, which rows don't have."""
+    chunk_size: of a store whose partition column is chunk; only the chunks of the range are read then."""
     span = abs(step)
     low, high = (start or 0, stop) if step > 0 else ((stop + 1) if stop is not None else 0, None if start is None else start + 1)
     anchor = low if step > 0 else (start if start is not None else low)
     out = alleles.where(F.col("site") >= low)
     out = out if high is None else out.where(F.col("site") < high)
+    if chunk_size is not None:
+        out = out.where(F.col("chunk") >= low // chunk_size)
+        out = out if high is None else out.where(F.col("chunk") <= max(0, high - 1) // chunk_size)
     return out if span == 1 else out.where(F.pmod(F.col("site") - anchor, F.lit(span)) == 0)
 
 

@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numbers import short_number
+from ..functions.numbers import plain_number, short_number
+from ..functions.tables import shared_path
 from ..operators import calls, impute, match, score, select
 from ..operators import sites as site_ops
 from ..operators import weights as weight_ops
+from ..sources import files as side_files
+from ..sources import panel as panel_store
 from ..sources import vcf
-from .virtual import CHUNK, Virtual, store
+from .virtual import CHUNK, Capped, Sparse, Virtual, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,9 +27,9 @@ def _plain(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("long").alias(c) if t in ("int", "tinyint", "smallint") or t.startswith("decimal") else F.col(c) for c, t in df.dtypes])
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, kind: type[Virtual] = Virtual):
     def add(f: Callable[[Virtual], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: _plain(f(store(spark, sf_dir)))
+        QUERIES[f.__name__] = lambda spark, sf_dir: _plain(f(store(spark, sf_dir, kind)))
         if sql:
             ORACLES[f.__name__] = sql
         return f
@@ -40,9 +43,9 @@ CTES: list[tuple[str, str]] = [
     ("alleles", "SELECT vec_id AS hap, CAST(unnest(range(len(embedding))) AS BIGINT) AS site, unnest(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END)) AS allele FROM embeddings"),
     ("sites", "SELECT site, '20' AS chrom, 60000 + 1000 * site + (site * site) % 997 AS pos, substr('ACGT', CAST(site % 4 + 1 AS BIGINT), 1) AS ref, substr('CGTA', CAST(site % 4 + 1 AS BIGINT), 1) AS alt, '20-' || (60000 + 1000 * site + (site * site) % 997) || '-' || substr('ACGT', CAST(site % 4 + 1 AS BIGINT), 1) || '-' || substr('CGTA', CAST(site % 4 + 1 AS BIGINT), 1) AS id, CASE WHEN site % 3 = 0 THEN 'rs' || site ELSE '' END AS original_id, site // 16 AS chunk FROM (SELECT DISTINCT site FROM alleles)"),
     ("typed", "SELECT hap, site // 2 AS n, allele FROM alleles WHERE site % 2 = 0"),
-    ("tgt", "SELECT * FROM typed WHERE hap < 20"),
-    ("ref", "SELECT * FROM typed WHERE hap >= 20"),
-    ("np", "SELECT count(*) AS n_panel FROM embeddings WHERE vec_id >= 20"),
+    ("tgt", "SELECT * FROM typed WHERE (hap // 2) % 20 = 0"),
+    ("ref", "SELECT * FROM typed WHERE (hap // 2) % 20 <> 0"),
+    ("np", "SELECT count(*) AS n_panel FROM embeddings WHERE (vec_id // 2) % 20 <> 0"),
     ("pairs", "SELECT t.hap AS target_hap, r.hap AS ref_hap, n, CAST(t.allele <> r.allele AS INT) AS mm FROM tgt t JOIN ref r USING (n) WHERE n < 31"),
     ("islands", "SELECT *, sum(mm) OVER (PARTITION BY target_hap, ref_hap ORDER BY n) AS grp FROM pairs"),
     ("runs", "SELECT target_hap, ref_hap, min(n) AS start, count(*) AS len FROM islands WHERE mm = 0 GROUP BY target_hap, ref_hap, grp HAVING count(*) >= 5"),
@@ -141,9 +144,16 @@ def site_lists_agree(v: Virtual) -> DataFrame:
     return site_ops.mismatched(v.shared, other).agg(F.count("*").alias("differences"))
 
 
-@query(sql("SELECT site, CASE WHEN hap < 20 THEN hap + (SELECT n_panel FROM np) ELSE hap - 20 END AS hap, allele::BIGINT AS allele FROM alleles"))
+@query(sql("SELECT site // 2 AS n, pos + CASE WHEN side = 'target' AND site % 14 = 6 THEN 1 ELSE 0 END AS pos, side FROM sites, (SELECT unnest(['panel', 'target']) AS side) WHERE site % 14 = 6"))
+def site_lists_differ(v: Virtual) -> DataFrame:
+    """One site in seven of the target's list is moved by a base."""
+    other = site_ops.dense(v.typed_sites, "target_row").select("n", "chrom", F.when(F.col("n") % 7 == 3, F.col("pos") + 1).otherwise(F.col("pos")).alias("pos"), "ref", "alt")
+    return site_ops.mismatched(v.shared, other).select("n", "pos", "side")
+
+
+@query(sql("SELECT site, CASE WHEN (hap // 2) % 20 = 0 THEN hap + (SELECT max(vec_id) + 1 FROM embeddings) ELSE hap END AS hap, allele::BIGINT AS allele FROM alleles"))
 def merge_panel_targets(v: Virtual) -> DataFrame:
-    return site_ops.merge(v.panel.withColumn("hap", F.col("hap") - 20), v.targets, v.n_panel)
+    return site_ops.merge(v.panel, v.targets, v.table("embeddings").agg(F.max("vec_id") + 1).first()[0])
 
 
 NAMES = ["S7", "S3", "S11", "S0", "S3"]
@@ -176,7 +186,7 @@ def panel_range(v: Virtual) -> DataFrame:
     return site_ops.position_range(v.sites, 70000, 90121).select("site", "pos")
 
 
-@query(sql("SELECT hap, site, allele::BIGINT AS allele FROM alleles WHERE hap >= 20"))
+@query(sql("SELECT hap, site, allele::BIGINT AS allele FROM alleles WHERE (hap // 2) % 20 <> 0"))
 def panel_all(v: Virtual) -> DataFrame:
     return v.panel.select("hap", "site", "allele")
 
@@ -267,6 +277,51 @@ def match_top60(v: Virtual) -> DataFrame:
     return v.matches
 
 
+# ---- the same with caps that trim, and with runs so long that gaps remain
+
+CAPS = {"rank <= 450": "rank <= 4", "k <= 60": "k <= 2", "k <= 50": "k <= 3"}
+
+
+def varied(text: str, changes: dict[str, str]) -> str:
+    for old, new in changes.items():
+        assert old in text
+        text = text.replace(old, new)
+    return text
+
+
+@query(varied(sql("SELECT * FROM top450"), {"rank <= 450": "rank <= 4"}), Capped)
+def capped_forward(v: Virtual) -> DataFrame:
+    return v.top_forward
+
+
+@query(varied(sql("SELECT * FROM top60"), {"rank <= 450": "rank <= 4", "k <= 60": "k <= 2"}), Capped)
+def capped_backward(v: Virtual) -> DataFrame:
+    return v.matches
+
+
+@query(varied(sql("SELECT target_hap, n, ref_hap, round(score, 9) AS score, k FROM best50"), CAPS), Capped)
+def capped_best_per_site(v: Virtual) -> DataFrame:
+    return v.best.withColumn("score", F.round("score", 9))
+
+
+LONG = {"count(*) >= 5": "count(*) >= 9"}
+
+
+@query(varied(sql("SELECT * FROM cover"), LONG), Sparse)
+def sparse_gap_fill(v: Virtual) -> DataFrame:
+    return v.cover
+
+
+@query(varied(sql("SELECT target_hap, n FROM (SELECT DISTINCT target_hap, unnest(range(32)) AS n FROM top60) EXCEPT SELECT target_hap, n FROM covered"), LONG), Sparse)
+def sparse_missing_sites(v: Virtual) -> DataFrame:
+    return select.missing_sites(v.cover, v.n_sites)
+
+
+@query(varied(sql("SELECT target_hap, n, count(*) AS runs FROM stabbed GROUP BY ALL"), LONG), Sparse)
+def sparse_coverage(v: Virtual) -> DataFrame:
+    return select.stabbed(v.cover).groupBy("target_hap", "n").agg(F.count("*").alias("runs"))
+
+
 # ---- coverage and selection
 
 
@@ -356,22 +411,22 @@ def _size(c: str):
 
 @query(sql("SELECT target_hap, row, ref_hap, CASE WHEN x > 0 THEN round(log10(x), 6) END AS fwd FROM fwd"))
 def forward_fold(v: Virtual) -> DataFrame:
-    return v.weights.select("target_hap", "row", "ref_hap", _size("fwd").alias("fwd"))
+    return v.folds.select("target_hap", "row", "ref_hap", _size("fwd").alias("fwd"))
 
 
 @query(sql("SELECT target_hap, row, ref_hap, CASE WHEN x > 0 THEN round(log10(x), 6) END AS bwd FROM bwd"))
 def backward_fold(v: Virtual) -> DataFrame:
-    return v.weights.select("target_hap", "row", "ref_hap", _size("bwd").alias("bwd"))
+    return v.folds.select("target_hap", "row", "ref_hap", _size("bwd").alias("bwd"))
 
 
 @query(sql("SELECT target_hap, row, ref_hap, round(w, 7) AS w FROM normed"))
 def weights_normalized(v: Virtual) -> DataFrame:
-    return v.weights.select("target_hap", "row", "ref_hap", F.round("w", 7).alias("w"))
+    return v.folds.select("target_hap", "row", "ref_hap", F.round("w", 7).alias("w"))
 
 
 @query(sql("SELECT target_hap, row, ref_hap, round(w, 7) AS w FROM pruned"))
 def weights_pruned(v: Virtual) -> DataFrame:
-    return v.weights.where("pruned > 0").select("target_hap", "row", "ref_hap", F.round("pruned", 7).alias("w"))
+    return v.weights.select("target_hap", "row", "ref_hap", F.round("w", 7).alias("w"))
 
 
 # ---- imputation and calls
@@ -407,7 +462,7 @@ def allele_count_freq(v: Virtual) -> DataFrame:
     return calls.allele_counts(calls.calls(v.probabilities))
 
 
-@query(sql("SELECT site, '21' AS chrom, a.allele || '|' || b.allele AS gt, a.hap // 2 AS sample_idx FROM alleles a JOIN alleles b USING (site) WHERE a.hap < 20 AND a.hap % 2 = 0 AND b.hap = a.hap + 1").replace("'21' AS chrom, ", ""))
+@query(sql("SELECT site, '21' AS chrom, a.allele || '|' || b.allele AS gt, a.hap // 2 AS sample_idx FROM alleles a JOIN alleles b USING (site) WHERE (a.hap // 2) % 20 = 0 AND a.hap % 2 = 0 AND b.hap = a.hap + 1").replace("'21' AS chrom, ", ""))
 def target_genotypes(v: Virtual) -> DataFrame:
     return own_genotypes(v)
 
@@ -437,6 +492,142 @@ def number_text(v: Virtual) -> DataFrame:
     return v.table("lineitem").select("l_orderkey", "l_linenumber", short_number(F.col("l_quantity") / 3).alias("text"))
 
 
+# ---- files: written from the virtual panel, read by the readers
+
+
+def _lines(v: Virtual, df: DataFrame, label: str) -> str:
+    """A single text file of df(i, value), in the order of i."""
+    path = shared_path(v.spark, label)
+    df.repartition(1).sortWithinPartitions("i").select("value").write.text(path)
+    return path
+
+
+@query(sql("SELECT '20' AS chrom, pos, round(cm, 9) AS cm FROM gmap"))
+def file_genetic_map(v: Virtual) -> DataFrame:
+    rows = v.genetic_map.select(F.col("pos").alias("i"), F.concat_ws(" ", "chrom", F.lit("."), F.col("cm").cast("string"), "pos").alias("value"))
+    note = v.spark.createDataFrame([(0, "# chromosome name cM position")], "i long, value string")
+    return side_files.genetic_map(v.spark, _lines(v, rows.unionByName(note), "map")).withColumn("cm", F.round("cm", 9))
+
+
+@query(sql("SELECT chrom, pos, ref, alt FROM sites"))
+def file_site_list(v: Virtual) -> DataFrame:
+    rows = v.sites.select(F.col("site").alias("i"), F.concat_ws("\t", "chrom", "pos", F.lower("ref"), "alt").alias("value"))
+    return side_files.site_list(v.spark, _lines(v, rows, "site-list"))
+
+
+@query("SELECT sample_idx, 'S' || sample_idx AS sample_id FROM (SELECT DISTINCT vec_id // 2 AS sample_idx FROM embeddings)")
+def file_sample_list(v: Virtual) -> DataFrame:
+    names = v.table("embeddings").select(F.floor(F.col("vec_id") / 2).alias("i")).distinct().select("i", F.concat(F.lit("S"), F.col("i"), F.lit("\tPOP:x")).alias("value"))
+    head = v.spark.createDataFrame([(-2, "ID_1 ID_2 missing"), (-1, "0 0 0")], "i long, value string")
+    return side_files.sample_list(v.spark, _lines(v, names.unionByName(head), "samples"))
+
+
+@query(sql("SELECT site, CASE WHEN site % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS keep FROM sites"))
+def file_site_filter(v: Virtual) -> DataFrame:
+    rows = site_ops.mask(v.sites, v.shared).select(F.col("site").alias("i"), F.col("keep").cast("string").alias("value"))
+    return side_files.site_filter(v.spark, _lines(v, rows, "filter"), v.n_variants)
+
+
+def panel_files(v: Virtual) -> str:
+    """The panel's store: sites, ALT alleles by chromosome and chunk, samples."""
+    path = shared_path(v.spark, "store")
+    alt = v.panel_alt.join(v.sites.select("site", "chrom", "chunk"), "site").select("chrom", "chunk", "site", "hap")
+    samples = v.panel.select(F.floor(F.col("hap") / 2).alias("sample_idx")).distinct().withColumn("sample_id", F.concat(F.lit("S"), "sample_idx"))
+    panel_store.write(v.sites, alt, samples, path)
+    return path
+
+
+@query(sql("SELECT site, hap FROM alleles WHERE (hap // 2) % 20 <> 0 AND allele = 1 AND site >= 21 AND site < 50 AND (site - 21) % 4 = 0"))
+def store_slice(v: Virtual) -> DataFrame:
+    _, alt, _ = panel_store.read(v.spark, panel_files(v))
+    return site_ops.rows_between(alt, 21, 50, 4, CHUNK).select("site", "hap")
+
+
+@query(sql("SELECT site, hap FROM alleles WHERE (hap // 2) % 20 <> 0 AND allele = 1 AND site = 17"))
+def store_row(v: Virtual) -> DataFrame:
+    _, alt, _ = panel_store.read(v.spark, panel_files(v))
+    return site_ops.rows_at(alt, 17, CHUNK).select("site", "hap")
+
+
+@query(sql("SELECT chrom, count(*) AS n_variants, min(pos) AS min_position, max(pos) AS max_position, count(DISTINCT chunk) AS n_chunks, (SELECT n_panel // 2 FROM np) AS n_samples, (SELECT n_panel FROM np) AS n_haps FROM sites GROUP BY chrom"))
+def store_metadata(v: Virtual) -> DataFrame:
+    return panel_store.decoded(panel_store.metadata(v.spark, panel_files(v)))
+
+
+@query(sql("SELECT site, chunk, id, original_id FROM sites"))
+def store_sites(v: Virtual) -> DataFrame:
+    sites, _, _ = panel_store.read(v.spark, panel_files(v))
+    return sites.select("site", "chunk", "id", "original_id")
+
+
+def names(v: Virtual) -> list[str]:
+    """Of the targets, in order: the columns of their file."""
+    return [r.s for r in v.targets.select(F.floor(F.col("hap") / 2).alias("i")).distinct().orderBy("i").select(F.concat(F.lit("S"), "i").alias("s")).collect()]
+
+
+def target_file(v: Virtual) -> str:
+    """A VCF of the targets at typed sites."""
+    path = shared_path(v.spark, "target") + ".vcf.gz"
+    rows = own_genotypes(v).join(v.shared.select("site"), "site").groupBy("site").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sample_idx", "gt"))), lambda x: x["gt"]), "\t").alias("gts"))
+    body = rows.join(v.sites, "site").select("site", F.concat_ws("\t", "chrom", "pos", "id", "ref", "alt", F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT"), "gts").alias("record"))
+    vcf.write(body, vcf.header_lines("##contig=<ID=20,length=64444167>", names(v), "1.0"), path)
+    return path
+
+
+@query(sql("SELECT s.pos, dense_rank() OVER (ORDER BY hap // 2) - 1 AS sample_idx, hap % 2 AS h, allele::BIGINT AS allele, false AS is_missing FROM alleles a JOIN sites s ON s.site = a.site WHERE (hap // 2) % 20 = 0 AND a.site % 2 = 0"))
+def file_vcf_genotypes(v: Virtual) -> DataFrame:
+    return vcf.genotypes(vcf.split_alleles(vcf.records(vcf.lines(v.spark, target_file(v))))).select("pos", "sample_idx", "h", "allele", "is_missing")
+
+
+@query(sql("SELECT row_number() OVER (ORDER BY s) - 1 AS sample_idx, 'S' || s AS sample_id FROM (SELECT DISTINCT hap // 2 AS s FROM alleles WHERE (hap // 2) % 20 = 0)"))
+def file_vcf_samples(v: Virtual) -> DataFrame:
+    return vcf.samples(vcf.lines(v.spark, target_file(v)))
+
+
+@query(sql("SELECT id FROM sites WHERE site % 2 = 0"))
+def file_vcf_ids(v: Virtual) -> DataFrame:
+    return vcf.ids(vcf.lines(v.spark, target_file(v)))
+
+
+@query(sql("SELECT '20' AS chrom, count(*) AS n_records, max(pos) AS last_pos, 64444167::BIGINT AS length FROM sites WHERE site % 2 = 0"))
+def file_vcf_stats(v: Virtual) -> DataFrame:
+    return vcf.file_stats(vcf.lines(v.spark, target_file(v)))
+
+
+@query("SELECT '##contig=<ID=20,length=64444167>' AS contig, '20' AS chrom, (SELECT count(*) FROM (SELECT DISTINCT vec_id // 2 AS s FROM embeddings) WHERE s % 20 = 0) AS n_columns")
+def file_vcf_header(v: Virtual) -> DataFrame:
+    text = vcf.lines(v.spark, target_file(v))
+    found = v.spark.createDataFrame([(vcf.contig_line(text, "20"), vcf.one_chromosome(vcf.records(text)))], "contig string, chrom string")
+    return found.withColumn("n_columns", F.lit(vcf.samples(text).count()).cast("long"))
+
+
+def imputed_file(v: Virtual) -> str:
+    path = shared_path(v.spark, "imputed") + ".vcf.gz"
+    body = calls.records(calls.calls(v.probabilities), v.sites, v.shared, own_genotypes(v))
+    vcf.write(body, vcf.header_lines("##contig=<ID=20,length=64444167>", names(v), "1.0"), path)
+    return path
+
+
+@query(RECORD_SQL.replace("SELECT s.site, concat_ws", "SELECT concat_ws"))
+def file_imputed_records(v: Virtual) -> DataFrame:
+    return vcf.lines(v.spark, imputed_file(v)).where(~F.col("value").startswith("#")).select(F.col("value").alias("record"))
+
+
+@query(sql("SELECT s.id AS variant, 'S' || g.sample_idx AS sample_idx, h, CASE WHEN s.site % 2 = 0 THEN a.allele WHEN h = 0 THEN gt1 ELSE gt2 END::BIGINT AS allele FROM gts g, (SELECT unnest([0, 1]) AS h) hh, sites s, alleles a WHERE s.site = g.site AND a.site = g.site AND a.hap = g.sample_idx * 2 + h AND s.pos BETWEEN 70000 AND 90121 AND g.sample_idx IN (0, 20)"))
+def file_scored_region(v: Virtual) -> DataFrame:
+    """The scorer's scan of an imputed file: a region, two samples by name."""
+    return vcf.scored_alleles(vcf.lines(v.spark, imputed_file(v)), ["S0", "S20"], "20", 70000, 90121).select("variant", "sample_idx", "h", "allele")
+
+
+@query(sql("SELECT variant, tp, tn, fp, fn, fp + fn AS te, round(2 * p * r / (p + r), 6) AS fscore FROM (SELECT *, (tp + 1e-8) / (tp + fp + 1e-8) AS p, (tp + 1e-8) / (tp + fn + 1e-8) AS r FROM conf)"))
+def file_score_report(v: Virtual) -> DataFrame:
+    """The variant report as it is written to CSV, read back."""
+    path = shared_path(v.spark, "report")
+    found = score.fscore_by_variant(pairs(v))
+    found.select(*[plain_number(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes]).write.csv(path, header=True)
+    return v.spark.read.csv(path, header=True, schema="variant long, tp long, tn long, fp long, fn long, te long, prec double, recall double, fscore double").drop("prec", "recall")
+
+
 # ---- scoring
 
 

@@ -128,23 +128,54 @@ def impute(spark: SparkSession, store: str, target: str, genetic_map: str, out:
     return Imputation(spark, store, target, genetic_map, match_length, est_ne).write(out)
 
 
-def _scored_alleles(spark: SparkSession, path: str, names: list[str] | None) -> DataFrame:
-    text = vcf.lines(spark, path)
-    ids = vcf.samples(text)
-    g = vcf.genotypes(vcf.split_alleles(vcf.records(text))).join(ids, "sample_idx")
-    g = g if names is None else g.where(F.col("sample_id").isin(names))
-    return g.select("pos", variant_id(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt")).alias("variant"), F.col("sample_id").alias("sample_idx"), "h", "allele")
+def filter_sites(spark: SparkSession, vcf_path: str, site_path: str, out: str) -> str:
+    """A VCF's records whose site stands in a site list, as they are; returns the name of the file written."""
+    text = vcf.lines(spark, vcf_path)
+    body = text.where(~F.col("value").startswith("#") & (F.col("value") != ""))
+    f = F.split("value", "\t", 6)
+    keyed = body.select("value", F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).cast("long").alias("pos"), F.upper(F.get(f, F.lit(3))).alias("ref"), F.upper(F.get(f, F.lit(4))).alias("alt"))
+    kept = keyed.join(files.site_list(spark, site_path).distinct(), site_ops.KEY, "left_semi").select(F.col("pos").alias("site"), F.col("value").alias("record"))
+    return _write_like(text, kept, out)
+
+
+def select_samples(spark: SparkSession, vcf_path: str, names_path: str, out: str) -> str:
+    """A VCF with the columns of the listed samples, in the list's order; a name that the file lacks is an error."""
+    text = vcf.lines(spark, vcf_path)
+    at = {r.sample_id: r.sample_idx for r in vcf.samples(text).collect()}  # the file's columns
+    wanted = [r.sample_id for r in files.sample_list(spark, names_path).orderBy("sample_idx").collect()]
+    if missing := [n for n in wanted if n not in at]:
+        raise ValueError(f"no such samples: {missing[:10]}")
+    f = F.split("value", "\t")
+    body = text.where(~F.col("value").startswith("#") & (F.col("value") != ""))
+    kept = body.select(F.get(f, F.lit(1)).cast("long").alias("site"), F.concat_ws("\t", *[F.get(f, F.lit(i)) for i in range(9)], *[F.get(f, F.lit(9 + at[n])) for n in wanted]).alias("record"))
+    return _write_like(text, kept, out, wanted)
+
+
+def _write_like(text: DataFrame, body: DataFrame, out: str, names: list[str] | None = None) -> str:
+    head = [r.value for r in vcf.header(text).collect()]  # the header's lines
+    if names is not None:
+        head = [x for x in head if not x.startswith("#CHROM")] + ["\t".join([*"#CHROM POS ID REF ALT QUAL FILTER INFO FORMAT".split(), *names])]
+    name = vcf.output_name(out)
+    vcf.write(body, head, name)
+    return name
+
+
+def match_files(spark: SparkSession, store: str, target: str, genetic_map: str, out: str, match_length: int = match.MIN_LENGTH) -> DataFrame:
+    """Writes the kept runs of a target VCF against a panel store as Parquet under out."""
+    Imputation(spark, store, target, genetic_map, match_length).matches.write.parquet(out)
+    return spark.read.parquet(out)
 
 
-def score_files(spark: SparkSession, truth: str, imputed: str, out: str | None = None, names: list[str] | None = None, chunk_size: int = 10_000, phased: bool = False) -> tuple[DataFrame, DataFrame]:
+def score_files(spark: SparkSession, truth: str, imputed: str, out: str | None = None, names: list[str] | None = None, chunk_size: int = 10_000, phased: bool = False, region: tuple[str, int, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """(variant report, sample report); written as CSV and TSV under out where given.
 
-    Variants and samples are met by name. Chunks are even position ranges of the imputed file."""
-    x = _scored_alleles(spark, imputed, names)
+    Variants and samples are met by name. Chunks are even position ranges of the imputed file.
+    region: chromosome, first and last position; other records are not scored."""
+    x = vcf.scored_alleles(vcf.lines(spark, imputed), names, *(region or ()))
     facts = x.agg(F.max("pos").alias("last"), F.countDistinct("variant").alias("n")).first()
     width = max(1, -(-(facts.last or 1) // max(1, -(-(facts.n or 1) // chunk_size))))
     x = x.withColumn("chunk", F.floor((F.col("pos") - 1) / width)).drop("pos")
-    pairs = written(score.paired(x, _scored_alleles(spark, truth, names)), "pairs")
+    pairs = written(score.paired(x, vcf.scored_alleles(vcf.lines(spark, truth), names, *(region or ())).drop("pos")), "pairs")
     variants, samples = score.variant_report(pairs, phased), score.by_sample(pairs, phased).withColumnRenamed("sample_idx", "sample")
     if out:
         text = lambda df: df.select(*[plain_number(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])

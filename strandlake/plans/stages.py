@@ -19,6 +19,7 @@ DIGITS = 10
 class Stages:
     match_length = match.MIN_LENGTH
     est_ne: float = genmap.NE
+    forward, backward, most = match.FORWARD, match.BACKWARD, select.BEST
 
     sites: DataFrame  # site, chrom, pos, ref, alt, id, original_id
     shared: DataFrame  # n, site, chrom, pos, ref, alt of typed sites
@@ -42,11 +43,11 @@ class Stages:
 
     @cached_property
     def top_forward(self) -> DataFrame:
-        return match.best_forward(self.runs, self.panel_bits, self.target_bits)
+        return match.best_forward(self.runs, self.panel_bits, self.target_bits, self.forward)
 
     @cached_property
     def matches(self) -> DataFrame:
-        return written(match.best_backward(self.top_forward), "matches")
+        return written(match.best_backward(self.top_forward, self.backward), "matches")
 
     @cached_property
     def cover(self) -> DataFrame:
@@ -66,7 +67,7 @@ class Stages:
 
     @cached_property
     def best(self) -> DataFrame:
-        return written(select.best_at_sites(self.score, self.limits), "best")
+        return written(select.best_at_sites(self.score, self.limits, self.most), "best")
 
     @cached_property
     def chosen(self) -> DataFrame:
@@ -92,9 +93,14 @@ class Stages:
     def rates(self) -> DataFrame:
         return genmap.recombination(self.cm, self.n_panel, self.est_ne)
 
+    @cached_property
+    def folds(self) -> DataFrame:
+        """All cells of both passes, to be looked at; nothing after it needs them."""
+        return written(weights.folds(self.selected, self.rates, self.frequent[1], self.n_sites), "folds")
+
     @cached_property
     def weights(self) -> DataFrame:
-        return written(weights.weights(self.selected, self.rates, self.frequent[1], self.n_sites), "weights")
+        return written(weights.pruned(self.selected, self.rates, self.frequent[1], self.n_sites), "weights")
 
     @cached_property
     def intervals(self) -> DataFrame:

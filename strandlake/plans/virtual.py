@@ -1,8 +1,8 @@
 """A panel, targets and a genetic map derived from the driver's tables.
 
 Every vector of `embeddings` is a haplotype and every component a site; the allele is 1 where the
-component is positive. The first ten samples are the targets, typed at every second site, and all
-other vectors are the panel. `nation` gives the genetic map.
+component is positive. Two vectors make a sample; every twentieth sample is a target, typed at every
+second site, and all others are the panel. `nation` gives the genetic map.
 """
 
 from __future__ import annotations
@@ -18,11 +18,15 @@ from ..operators import match
 from ..operators import sites as site_ops
 from .stages import Stages
 
-TARGETS = 20  # haplotypes
+EVERY = 20  # one in so many samples is a target
 CHUNK = 16
 CHROM = "20"
 
 
+def is_target(hap: Column) -> Column:
+    return F.floor(hap / 2) % EVERY == 0
+
+
 def position(site: Column) -> Column:
     return (F.lit(60000) + site * 1000 + site * site % 997).cast("long")
 
@@ -61,15 +65,15 @@ class Virtual(Stages):
 
     @cached_property
     def panel(self) -> DataFrame:
-        return self.alleles.where(F.col("hap") >= TARGETS)
+        return self.alleles.where(~is_target(F.col("hap")))
 
     @cached_property
     def n_panel(self) -> int:
-        return self.table("embeddings").where(F.col("vec_id") >= TARGETS).count()
+        return self.table("embeddings").where(~is_target(F.col("vec_id"))).count()
 
     @cached_property
     def targets(self) -> DataFrame:
-        return self.alleles.where(F.col("hap") < TARGETS)
+        return self.alleles.where(is_target(F.col("hap")))
 
     @cached_property
     def panel_bits(self) -> DataFrame:
@@ -89,14 +93,26 @@ class Virtual(Stages):
         return self.table("nation").select(F.lit(CHROM).alias("chrom"), (F.lit(55000) + k * 3000).cast("long").alias("pos"), (F.lit(0.01) * k * (k + 1) / 2).alias("cm"))
 
 
-STORES: dict[tuple[str, str], Virtual] = {}
+class Capped(Virtual):
+    """With caps that trim: few runs are kept at each start and few haplotypes at each site."""
+
+    forward, backward, most = 4, 2, 3
+
+
+class Sparse(Virtual):
+    """With long runs only, so that sites before, between and after them are not covered."""
+
+    match_length = 9
+
+
+STORES: dict[tuple, Virtual] = {}
 
 
-def store(spark: SparkSession, sf_dir: str) -> Virtual:
-    """The stages of a session and input; queries of one session share the tables that are there already."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def store(spark: SparkSession, sf_dir: str, kind: type[Virtual] = Virtual) -> Virtual:
+    """The stages of a session and input; queries of one session share the tables that are there already, forget() ends that."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in STORES:
-        STORES[key] = Virtual(spark, sf_dir)
+        STORES[key] = kind(spark, sf_dir)
     return STORES[key]
 
 

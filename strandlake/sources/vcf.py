@@ -53,6 +53,27 @@ def sites(rows: DataFrame, chrom: str | None = None, low: int | None = None, hig
     return out.dropDuplicates()
 
 
+def ids(text: DataFrame) -> DataFrame:
+    """The id column of the records alone."""
+    return text.where(~F.col("value").startswith("#") & (F.col("value") != "")).select(F.get(F.split("value", "\t", 4), F.lit(2)).alias("id"))
+
+
+def region(text: DataFrame, chrom: str | None = None, low: int | None = None, high: int | None = None) -> DataFrame:
+    """Header lines, and the records of a region: only their first two fields are split to tell."""
+    f = F.split("value", "\t", 3)
+    pos, keep = F.get(f, F.lit(1)).try_cast("long"), F.lit(True)
+    for c in (F.get(f, F.lit(0)) == chrom if chrom is not None else None, pos >= low if low is not None else None, pos <= high if high is not None else None):
+        keep = keep if c is None else keep & c
+    return text.where(F.col("value").startswith("#") | keep)
+
+
+def scored_alleles(text: DataFrame, names: list[str] | None = None, chrom: str | None = None, low: int | None = None, high: int | None = None) -> DataFrame:
+    """(pos, variant, sample_idx, h, allele) of a file's genotypes, samples and variants by name; of a region, and of some samples, where given."""
+    found = samples(text)
+    g = genotypes(split_alleles(records(region(text, chrom, low, high)))).join(found if names is None else found.where(F.col("sample_id").isin(names)), "sample_idx")
+    return g.select("pos", variant_id(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt")).alias("variant"), F.col("sample_id").alias("sample_idx"), "h", "allele")
+
+
 def with_ids(found: DataFrame) -> DataFrame:
     return found.withColumn("variant_id", variant_id(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt")))
 

@@ -134,12 +134,12 @@ def test_run_lengths_match_plain_code(haps, n, least, seed):
     assert sorted(zip(*(x.tolist() for x in match.run_lengths(p, t, least)), strict=True)) == sorted(want)
 
 
-def test_batches_of_targets_give_the_same_runs(spark):
+def test_blocks_give_the_same_runs(spark):
     rng = random.Random(3)
     bits = lambda n: [(i, "".join(rng.choice("01") for _ in range(30))) for i in range(n)]
     p, t = spark.createDataFrame(bits(20), "hap int, bits string"), spark.createDataFrame(bits(7), "hap int, bits string")
     key = lambda df: sorted(map(tuple, df.collect()))
-    assert key(match.runs(p, t, 4, batch_bytes=60)) == key(match.runs(p, t, 4)) != []
+    assert key(match.runs(p, t, 4, block_bytes=60)) == key(match.runs(p, t, 4)) == key(match.runs(p, t, 4, parts=1)) != []
     assert match.runs(p, t.limit(0)).count() == 0
 
 
@@ -166,8 +166,67 @@ def test_weights_sum_to_one_and_bear_no_error():
         assert np.allclose(w.sum(axis=1), 1) and (pruned <= w).all() and ((pruned == 0) | (pruned >= 1 / 10)).all()
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.integers(1, 30), st.integers(1, 7), st.integers(1, 9), st.integers(0, 10**6))
+def test_blocked_passes_equal_dense_ones(n, haps, block, seed):
+    rng = np.random.default_rng(seed)
+    m = rng.random((n, haps)) < 0.5
+    m[:, 0] = True
+    before, after, error = rng.random(n), rng.random(n), float(rng.choice([0.0, 0.01, 0.2]))
+    _, stays = weights.combined(*weights.passes(m, before, after, error), m)
+    site, col = np.nonzero(m)
+    got = np.zeros_like(stays)
+    row, at, w = weights.blocked(site, col, n, haps, before, after, error, block)
+    got[row, at] = w
+    assert np.allclose(got, stays, atol=1e-12) and len(w) == np.count_nonzero(stays)
+
+
+def test_ranks_by_ranges(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), rng.randint(0, 500), rng.choice("ACGT")) for _ in range(300)]
+    got = site_ops.dense(spark.createDataFrame(rows, "chrom string, pos long, ref string"), "pos", "ref", width=64).collect()
+    for c in "ab":
+        mine = sorted((r.pos, r.ref, r.n) for r in got if r.chrom == c)
+        assert [(p, x) for p, x, _ in mine] == sorted((p, x) for q, p, x in rows if q == c) and sorted(n for *_, n in mine) == list(range(len(mine)))
+
+
+def test_store_reads_only_the_chunks_of_a_slice(spark, world, tmp_path):
+    _, full, *_ = world
+    files.prepare(spark, full, str(tmp_path / "s"), 8)
+    _, alt, _ = panel.read(spark, str(tmp_path / "s"))
+    some = site_ops.rows_between(alt, 9, 20, 2, 8)
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, site_ops.rows_between(alt, 9, 20, 2).collect())) != []
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "chunk" in plan.split("PartitionFilters")[1][:120]
+    assert len(some.inputFiles()) <= len(alt.inputFiles()) and site_ops.rows_at(alt, 17, 8).select("chunk").distinct().first().chunk == 2
+    uneven = spark.createDataFrame([("1", 5, "A", "C", 0, 0, 1), ("1", 5, "A", "C", 0, 1, 1), ("1", 6, "A", "C", 0, 0, 1)], "chrom string, pos long, ref string, alt string, sample_idx int, h int, allele int")
+    with pytest.raises(ValueError, match="haplotypes"):
+        panel.prepare(uneven.select("chrom", "pos", "ref", "alt").distinct(), uneven)
+
+
+def test_matcher_commands(spark, world, tmp_path, capsys):
+    d, full, chip, truth, people = world
+    (tmp_path / "list").write_text("20\t1000\tA\tC\n20\t1100\tg\tt\n20\t9\tA\tC\n")
+    (tmp_path / "names").write_text("p7\np3\n")
+    cli.main(["filter-sites", "--vcf", full, "--sites", str(tmp_path / "list"), "--out", str(tmp_path / "f.vcf.gz")])
+    cli.main(["select-samples", "--vcf", full, "--samples", str(tmp_path / "names"), "--out", str(tmp_path / "n.vcf.gz")])
+    cli.main(["stats", "--vcf", full])
+    said = capsys.readouterr().out.strip().splitlines()
+    assert json.loads(said[-1]) == {"chrom": "20", "n_records": 40, "last_pos": 2950, "length": 64444167}
+    kept = vcf.records(vcf.lines(spark, str(tmp_path / "f.vcf.gz"))).collect()
+    assert [(r.pos, len(r.fields)) for r in kept] == [(1000, 30), (1100, 30)]
+    text = vcf.lines(spark, str(tmp_path / "n.vcf.gz"))
+    assert [r.sample_id for r in vcf.samples(text).orderBy("sample_idx").collect()] == ["p7", "p3"]
+    assert {r.pos: list(r.fields) for r in vcf.records(text).collect()}[1050] == [f"{people[k][0][1]}|{people[k][1][1]}" for k in (7, 3)]
+    cli.main(["prepare", "--vcf", full, "--panel", str(tmp_path / "p")])
+    cli.main(["match", "--panel", str(tmp_path / "p"), "--target", chip, "--map", str(d / "map.txt"), "--out", str(tmp_path / "m")])
+    assert spark.read.parquet(str(tmp_path / "m")).count() > 0
+    part, _ = files.score_files(spark, truth, full.replace("panel.vcf", "truth.vcf"), region=("20", 1100, 1200))
+    assert part.count() == 3
+
+
 def test_assembly():
-    assert chromosome_length("chr20") == 64444167 and chromosome_length("X") == 156040895 and chromosome_length("GL1") is None
+    assert chromosome_length("chr20") == 64444167 and chromosome_length("X") == 156040895 and chromosome_length("GL1") is None and chromosome_length("chrM") == chromosome_length("MT") == 16569
 
 
 def test_slices_and_counts(spark):
