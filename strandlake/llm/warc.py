@@ -3,16 +3,18 @@ identifiers, timestamps, types and digests, write WARC archives and read them ba
 
 An ARC record is a header line and as many bytes as the line's last field declares. Version 1 lines
 have five fields, version 2 lines ten; the archive's own first record tells which. Archives are
-written by Spark's text sink: rows are whole stretches of WARC records, and the sink's line end is
-the two line breaks that close a record.
+gzip, a member for each record, so that a record can be fetched by its offset. Spark's text sink
+writes them: rows are whole members, and the sink's line end is an empty member.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
 import zlib
+from calendar import monthrange
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 from urllib.parse import quote
@@ -27,6 +29,7 @@ LEAST = 100  # shorter payloads are stored again, not revisited
 STRETCH = 8 << 20  # bytes after which a stretch of records ends
 PER_FILE = 4  # stretches of an archive
 END = b"\r\n\r\n"
+NOTHING = gzip.compress(b"", mtime=0)
 # The fields of the header lines of either version, and their names in a WARC record.
 V1 = ("url", "ip", "date", "mime", "length")
 V2 = ("url", "ip", "date", "mime", "status", "checksum", "location", "offset", "filename", "length")
@@ -55,10 +58,10 @@ def arc_head(version: int, stamp: str) -> bytes:
 def arc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(fields, body) of each record of an archive, its own description left out.
 
-    The version is the one the archive's first record declares; an archive without it is read by
-    the number of fields of each line. Bodies are taken by declared length, so line breaks and
+    Only an archive's first record may be its description; the version is the one it declares. An
+    archive without it is read by the number of fields of each line. Bodies are taken by declared length, so line breaks and
     header-like lines inside them do no harm. A declared length beyond the data is an error."""
-    at, version = 0, 0
+    at, version, first = 0, 0, True
     while at < len(data):
         if data[at : at + 1] in (b"\n", b"\r"):
             at += 1
@@ -75,18 +78,21 @@ def arc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         if not re.fullmatch(r"[0-9]+", fields["length"]) or (end := stop + 1 + int(fields["length"])) > len(data):
             raise ValueError("ARC record whose declared length does not fit")
         body, at = data[stop + 1 : end], end
-        if fields["url"].startswith("filedesc:"):
-            version = int(body.split(b" ", 1)[0] or 0)
+        if first and fields["url"].startswith("filedesc:") and (m := re.match(rb"([0-9]{1,4}) ", body)):
+            version, first = int(m[1]), False
             continue
+        first = False
         yield fields, body
 
 
 def iso(stamp: str) -> str:
-    """YYYYMMDD[hhmm[ss]] as a WARC date; fields that are missing or out of range fall to their least value."""
+    """YYYYMMDD[hhmm[ss]] as a WARC date; fields that are missing or out of range, and days that the month lacks, fall to their least value."""
     digits = (re.sub(r"[^0-9]", "", stamp) + "0" * 14)[:14]
     y, *rest = int(digits[:4]), *(int(digits[i : i + 2]) for i in range(4, 14, 2))
     low, high = (1, 1, 0, 0, 0), (12, 31, 23, 59, 59)
     rest = [v if a <= v <= b else a for v, a, b in zip(rest, low, high, strict=True)]
+    if rest[1] > monthrange(max(y, 1), rest[0])[1]:
+        rest[1] = 1
     return f"{y:04}-{rest[0]:02}-{rest[1]:02}T{rest[2]:02}:{rest[3]:02}:{rest[4]:02}Z"
 
 
@@ -192,54 +198,76 @@ def info_record() -> bytes:
     return f"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <{uuid.uuid5(uuid.NAMESPACE_URL, 'strandlake').urn}>\r\nWARC-Date: 2001-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(block)}".encode() + END + block
 
 
+def member(record: bytes) -> bytes:
+    d = zlib.compressobj(5, zlib.DEFLATED, 31)
+    return d.compress(record) + d.compress(END) + d.flush()
+
+
 def write_warc(records: DataFrame, path: str) -> None:
-    """Writes records (with type) as gzip WARC archives under path."""
+    """Writes records (with type) as gzip WARC archives under path, a member for each record."""
     names = ["page_id", "uri", "ip", "date", "head", "payload", "payload_bytes", "digest", "record_id", "record_type", "refers_to"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [info_record()], 0
+        held, size = [member(info_record())], 0
         some = False
         for b in batches:
             for i in range(b.num_rows):
-                held.append(warc_record({n: b[n][i].as_py() for n in names}))
-                size, some = size + len(held[-1]), True
+                record = warc_record({n: b[n][i].as_py() for n in names})
+                held.append(member(record))
+                size, some = size + len(record), True
                 if size > STRETCH:
-                    yield pa.RecordBatch.from_arrays([pa.array([END.join(held)], pa.binary())], names=["stretch"])
-                    held, size, some = [info_record()], 0, False
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["stretch"])
+                    held, size, some = [member(info_record())], 0, False
         if some:
-            yield pa.RecordBatch.from_arrays([pa.array([END.join(held)], pa.binary())], names=["stretch"])
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["stretch"])
 
     stretches = records.select(*names).mapInArrow(run, "stretch binary")
-    stretches.select(F.col("stretch").cast("string").alias("value")).write.options(lineSep=END.decode(), compression="gzip", maxRecordsPerFile=PER_FILE).text(path)
+    stretches.select(F.col("stretch").cast("string").alias("value")).write.options(lineSep=NOTHING.decode("latin-1"), encoding="ISO-8859-1", maxRecordsPerFile=PER_FILE).text(path)
 
 
-def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-case names, block) of each record of an archive, gzip (any number of members) or plain."""
-    if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data:
-            d = zlib.decompressobj(31)
-            parts.append(d.decompress(data) + d.flush())
-            data = d.unused_data
-        data = b"".join(parts)
+def members(data: bytes, step: int = 1 << 14) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, content) of each gzip member; a plain archive is one."""
+    if data[:2] != b"\x1f\x8b":
+        if data:
+            yield 0, len(data), data
+        return
     at = 0
     while at < len(data):
-        stop = data.find(END, at)
-        if not data.startswith(b"WARC/", at) or stop < 0:
-            raise ValueError("not a WARC record")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at:stop].decode("utf-8", "surrogateescape").split("\r\n")[1:])}
-        end = stop + 4 + int(headers["content-length"])
-        if data[end : end + 4] != END:
-            raise ValueError("WARC record whose declared length does not fit")
-        yield headers, data[stop + 4 : end]
-        at = end + 4
+        d, out, to = zlib.decompressobj(31), [], at
+        while not d.eof:
+            if to >= len(data):
+                raise ValueError("gzip member without an end")
+            out.append(d.decompress(data[to : to + step]))
+            to += step
+        end = min(to, len(data)) - len(d.unused_data)
+        yield at, end - at, b"".join(out)
+        at = end
+
+
+def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers with lower-case names, block) of each record of an archive, gzip (any number of members) or plain.
+
+    The headers hold the offset and length of the record's member too, under ' offset' and ' length'."""
+    for start, length, part in members(data):
+        at = 0
+        while at < len(part):
+            stop = part.find(END, at)
+            if not part.startswith(b"WARC/", at) or stop < 0:
+                raise ValueError("not a WARC record")
+            headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in part[at:stop].decode("utf-8", "surrogateescape").split("\r\n")[1:])}
+            end = stop + 4 + int(headers["content-length"])
+            if part[end : end + 4] != END:
+                raise ValueError("WARC record whose declared length does not fit")
+            yield headers | {" offset": str(start), " length": str(length)}, part[stop + 4 : end]
+            at = end + 4
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the archives under path: page_id, uri, date, record_id, record_type, payload_bytes, payload_digest, refers_to.
+    """Rows of the archives under path: page_id, uri, date, record_id, record_type, payload_bytes, payload_digest, refers_to, archive (file name), offset and length of the record's member.
 
     Blocks' digests, and the payloads' of responses, are computed again; one that differs from its header is an error."""
-    schema = pa.schema([("page_id", pa.int64()), ("uri", pa.string()), ("date", pa.string()), ("record_id", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64())])
+    spec = "page_id long, uri string, date string, record_id string, record_type string, payload_bytes long, payload_digest string, refers_to long, archive string, offset long, length long"
+    schema = pa.schema([(x.split()[0], pa.int64() if x.endswith("long") else pa.string()) for x in spec.split(", ")])
 
     def row(h: dict[str, str], block: bytes) -> dict:
         digest = h["warc-payload-digest"].partition(":")[2]
@@ -251,22 +279,24 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             size = len(payload)
             if hashlib.sha256(payload).hexdigest() != digest:
                 raise ValueError("payload digest differs")
-        return {"page_id": int(h["x-page-id"]) if "x-page-id" in h else None, "uri": h["warc-target-uri"], "date": h["warc-date"], "record_id": h["warc-record-id"], "record_type": h["warc-type"], "payload_bytes": size, "payload_digest": digest, "refers_to": int(h["x-refers-to-page-id"]) if revisit else None}
+        return {"page_id": int(h["x-page-id"]) if "x-page-id" in h else None, "uri": h["warc-target-uri"], "date": h["warc-date"], "record_id": h["warc-record-id"], "record_type": h["warc-type"], "payload_bytes": size, "payload_digest": digest, "refers_to": int(h["x-refers-to-page-id"]) if revisit else None, "offset": int(h[" offset"]), "length": int(h[" length"])}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content in b.column(0):
-                yield pa.RecordBatch.from_pylist([row(h, block) for h, block in warc_records(content.as_py()) if h["warc-type"] != "warcinfo"], schema=schema)
+            for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                yield pa.RecordBatch.from_pylist([row(h, block) | {"archive": name} for h, block in warc_records(content.as_py()) if h["warc-type"] != "warcinfo"], schema=schema)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, "page_id long, uri string, date string, record_id string, record_type string, payload_bytes long, payload_digest string, refers_to long")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content").mapInArrow(run, spec)
 
 
 def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", path: str | None = None) -> DataFrame:
     """Pages as ARC, converted to WARC, written under path and read back: a row for each input row.
 
-    Null html is an empty payload, a null url is '-'. Rows that repeat a page_id get records of
-    their own; those of the smallest id are all responses. Null ids come back null and are never
-    referred to. An empty table gives none."""
+    Null html is an empty payload, a null url is '-', any other url (one that begins with filedesc:
+    too) is a page's. Rows that repeat a page_id get records of their own; those of the smallest id
+    are all responses. Null ids come back null and are never referred to. A record may be as large
+    as Arrow lets a value be (2 GB). Other columns are not read. An empty table gives none."""
     path = path or shared_path(pages.sparkSession, "warc")
     records = convert_arc(arc_of_pages(pages, id_col, url_col, html_col))
     write_warc(with_type(records), path)
