@@ -1,13 +1,14 @@
 """Secret scans with corpus-wide ownership: built-in functions only.
 
 Candidates found in a text are hashed and their hashes counted over all repositories and owners. A
-value that many owners hold is a copied example; one that a single owner holds and that looks
-random is a live-looking credential.
+value in many repositories of many owners is a copied example; any other that looks random is a
+live-looking credential. Where no repository is given, equal texts are one repository, so that
+copies of one document do not make its key an example.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import free_name, table, written
@@ -22,7 +23,8 @@ KINDS = (
 )
 # The method's own kind: long mixed tokens, kept only where corpus counts call them live.
 OWNED = ("owned", r"[A-Za-z0-9+/_-]{20,}", 0, 20)
-OWNERS = 3  # a value of this many owners is an example
+OWNERS, REPOS = 3, 3  # a value of this many owners and repositories is an example
+PIECE = 4096  # code points of the pieces that long texts are cut from
 # A match of assign holds the last letter of its word, a mark and a character of its value; matches
 # of the other kinds are runs that the owned kind's pattern finds too. So a text without both of
 # these needs no closer look.
@@ -88,12 +90,14 @@ def _live(value: str) -> Column:
     return (F.size(F.array_distinct(F.split(value, ""))) >= 8) & F.col(value).rlike("[0-9]") & F.col(value).rlike("[A-Za-z]")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, owners: int = OWNERS) -> DataFrame:
-    """Row for row: doc_id, digest (of the text), hits (kind, start, end, value), found with built-in functions.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
+    """Row for row: doc_id, digest (of the text), base and more (kind, start, end, value), found with built-in functions.
 
-    hits holds the base kinds' matches and the owned kind's candidates clear of them. repo_col: the
-    repository a row belongs to; by default each doc_id is one. Null text is empty text."""
-    df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col or id_col).cast("string").alias("repo"))
+    base holds the base kinds' matches, more the owned kind's candidates clear of them. repo_col: the
+    repository a row belongs to; by default equal texts are one. Null text is empty text. Texts of
+    any length are searched whole; running sums keep very many matches in proportion."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    df = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.col(owner_col).cast("string").alias("owner"), (F.col(repo_col) if repo_col else F.xxhash64(text)).cast("string").alias("repo"))
     df = df.withColumn("digest", F.xxhash64("text")).withColumn("text", F.when(may_hold(F.col("text")), F.col("text")).otherwise(""))
     df = _hits(df, "text", (*KINDS, OWNED), "all")
     own = len(KINDS)
@@ -103,63 +107,83 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     return df.select("doc_id", "owner", "repo", "digest", "base", more.alias("more"))
 
 
-def ownership(found: DataFrame, owners: int = OWNERS) -> DataFrame:
+def ownership(found: DataFrame, owners: int = OWNERS, repos: int = REPOS) -> DataFrame:
     """(hash, n_repos, n_owners, class): each candidate value's distinct repositories and owners over the corpus.
 
-    Sums run from (hash, owner, repository) to (hash, owner) to hash, each pre-aggregated, so that a
-    value which a third of all rows hold is never gathered."""
+    Sums run from (hash, owner, repository) to (hash, owner) and (hash, repository) and then to hash,
+    each pre-aggregated, so that a value which a third of all rows hold is never gathered."""
     each = found.select("owner", "repo", F.explode(F.concat("base", "more")).alias("h")).select("owner", "repo", F.col("h.v").alias("v")).withColumn("hash", F.sha2("v", 256)).withColumn("random", _live("v"))
     rows = each.groupBy("hash", "owner", "repo").agg(F.max("random").alias("random"))
-    by_owner = rows.groupBy("hash", "owner").agg(F.count("*").alias("n"), F.max("random").alias("random"))
-    total = by_owner.groupBy("hash").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"), F.max("random").alias("random"))
-    kind = F.when(F.col("n_owners") >= owners, "example").when(F.col("random") & (F.col("n_owners") == 1), "live").otherwise("unsure")
-    return total.select("hash", "n_repos", "n_owners", kind.alias("class"))
+    by_owner = rows.groupBy("hash", "owner").agg(F.max("random").alias("random"))
+    n_owners = by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.max("random").alias("random"))
+    n_repos = rows.groupBy("hash", "repo").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias("n_repos"))
+    kind = F.when((F.col("n_owners") >= owners) & (F.col("n_repos") >= repos), "example").when(F.col("random"), "live").otherwise("unsure")
+    return n_owners.join(n_repos, "hash").select("hash", "n_repos", "n_owners", kind.alias("class"))
+
+
+def _classed(found: DataFrame, owners: int) -> DataFrame:
+    """(doc_id, digest, h, hash, n_repos, n_owners, class): a row for each kept span; those of the owned kind only where they are live."""
+    some = found.where((F.size("base") > 0) | (F.size("more") > 0)).select("doc_id", "digest", F.explode(F.concat("base", "more")).alias("h"))
+    met = some.select("doc_id", "digest", "h", F.sha2("h.v", 256).alias("hash")).join(ownership(found, owners), "hash")
+    return met.where((F.col("h.k") < len(KINDS)) | (F.col("class") == "live"))
 
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, owners: int = OWNERS) -> DataFrame:
     """One row per input row: doc_id, digest, base (matches of the fixed kinds), judged (all kept spans with value hash, counts and class).
 
-    Spans of the owned kind are kept where their value is live: held by a single owner and random to
-    look at. Base spans are always kept, whatever their class. Rows that repeat a doc_id and text
-    give equal rows; a null owner counts as one owner of its own. An empty table gives none."""
-    found = written(scan(docs, id_col, text_col, owner_col, repo_col, owners), "secret-hits")
-    classes = ownership(found, owners)
-    some = found.where((F.size("base") > 0) | (F.size("more") > 0)).select("doc_id", "digest", F.explode(F.concat("base", "more")).alias("h"))
-    met = some.select("doc_id", "digest", "h", F.sha2("h.v", 256).alias("hash")).join(classes, "hash")
-    met = met.where((F.col("h.k") < len(KINDS)) | (F.col("class") == "live"))
-    judged = met.groupBy("doc_id", "digest").agg(F.collect_set(F.struct(F.col("h.s").alias("s"), F.col("h.k").alias("k"), F.col("h.e").alias("e"), "hash", "n_repos", "n_owners", "class")).alias("judged"))
+    Spans of the owned kind are kept where their value is live. Base spans are always kept, whatever
+    their class. Null and empty texts have no spans; very long ones are searched whole. Rows that
+    repeat a doc_id and text give equal rows; a null owner counts as one owner of its own. Other
+    columns are not read, whatever their names. An empty table gives none."""
+    found = written(scan(docs, id_col, text_col, owner_col, repo_col), "secret-hits")
+    judged = _classed(found, owners).groupBy("doc_id", "digest").agg(F.collect_set(F.struct(F.col("h.s").alias("s"), F.col("h.k").alias("k"), F.col("h.e").alias("e"), "hash", "n_repos", "n_owners", "class")).alias("judged"))
     j = judged.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.array_sort("judged").alias("judged"))
     rows = found.select("doc_id", "digest", "base")
     joined = rows.join(j, rows["doc_id"].eqNullSafe(j["__id"]) & (rows["digest"] == j["__digest"]), "left")
     return joined.select("doc_id", "digest", "base", F.coalesce("judged", F.array().cast(dict(judged.dtypes)["judged"])).alias("judged"))
 
 
-def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every live span's text replaced by `mark`; examples, unsure values and clean rows are left as they are.
+def _between(pieces: Column, a: Column, b: Column) -> Column:
+    """Code points a to b of a text that was cut into pieces of PIECE; costs what it gives and two pieces."""
+    i, j = F.floor(a / PIECE).cast("int"), F.floor((b - 1) / PIECE).cast("int")
+    at = lambda k: F.get(pieces, k)
+    one = F.substring(at(i), (a - i * PIECE + 1).cast("int"), (b - a).cast("int"))
+    more = F.concat(F.substring(at(i), (a - i * PIECE + 1).cast("int"), F.lit(PIECE)), F.array_join(F.slice(pieces, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(at(j), F.lit(1), (b - j * PIECE).cast("int")))
+    return F.when(b <= a, "").when(i == j, one).otherwise(more)
 
-    All columns and rows stay; overlapping spans become one mark. Spans are cut in code points."""
-    named, rest, live_, cut = (free_name(docs, x) for x in ("__row", "__digest", "__live", "__merged"))
-    found = secrets(docs, id_col, text_col, owner_col)
-    live = found.select(F.col("doc_id").alias(named), F.col("digest").alias(rest), F.filter("judged", lambda x: x["class"] == "live").alias(live_)).where(F.size(live_) > 0).dropDuplicates([named, rest])
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    joined = docs.join(live, docs[id_col].eqNullSafe(live[named]) & (F.xxhash64(text) == live[rest]), "left")
 
-    def add(acc: Column, x: Column) -> Column:
-        """A live span that starts inside an earlier one only lengthens it."""
-        last = F.get(acc, F.size(acc) - 1)
-        longer = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))
-        inside = (F.size(acc) > 0) & (last["e"] > x["s"])
-        return F.when(inside, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e")))))
+def _masked(text: Column, cuts: Column, mark: str) -> Column:
+    """text with the spans cuts(s, a, e) masked; a is where the span before ended. The lambda holds the pieces, which are made once."""
+    last = F.get(cuts, F.size(cuts) - 1)["e"]
+
+    def joined(pieces: Column) -> Column:
+        parts = F.transform(cuts, lambda x: F.concat(_between(pieces, x["a"], x["s"]), F.lit(mark)))
+        return F.concat(F.array_join(parts, ""), _between(pieces, last, F.char_length(text).cast("long")))
 
-    joined = joined.withColumn(cut, F.aggregate(live_, F.array().cast("array<struct<s:bigint,e:bigint>>"), add))
+    return F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))), joined), F.lit(0))
 
-    def piece(x: Column, i: Column) -> Column:
-        before = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(F.col(cut), i - 1)["e"])
-        return F.concat(F.substring(text, (before + 1).cast("int"), (x["s"] - before).cast("int")), F.lit(mark))
 
-    tail = F.substring(text, (F.get(F.col(cut), F.size(cut) - 1)["e"] + 1).cast("int"), F.char_length(text))
-    new = F.when(F.col(live_).isNull(), F.col(text_col)).otherwise(F.concat(F.array_join(F.transform(cut, piece), ""), tail))
-    return joined.select(*[new.alias(c) if c == text_col else docs[c] for c in docs.columns])
+def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", mark: str = "[SECRET]") -> DataFrame:
+    """docs with every live span's text replaced by `mark`; examples, unsure values, null and clean texts are left as they are.
+
+    All columns and rows stay; overlapping spans become one mark. Spans are cut in code points, in
+    time that follows the text's length and the number of spans. Texts that can hold no secret stay
+    where they are; only the others meet their spans by a join."""
+    named, rest, cut = (free_name(docs, x) for x in ("__row", "__digest", "__cut"))
+    found = written(scan(docs, id_col, text_col, owner_col), "secret-hits")
+    live = _classed(found, OWNERS).where("class = 'live'").select("doc_id", "digest", F.col("h.s").alias("s"), F.col("h.e").alias("e")).distinct()
+    # spans that overlap become one: a new one begins where all before it have ended
+    before = Window.partitionBy("doc_id", "digest").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    first = live.withColumn("far", F.max("e").over(before)).withColumn("new", (F.col("far").isNull() | (F.col("s") >= F.col("far"))).cast("int"))
+    first = first.withColumn("part", F.sum("new").over(Window.partitionBy("doc_id", "digest").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, 0)))
+    one = first.groupBy("doc_id", "digest", "part").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    one = one.withColumn("a", F.coalesce(F.lag("e").over(Window.partitionBy("doc_id", "digest").orderBy("s")), F.lit(0)))
+    cuts = one.groupBy(F.col("doc_id").alias(named), F.col("digest").alias(rest)).agg(F.sort_array(F.collect_list(F.struct("s", "a", "e"))).alias(cut))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    some = docs.where(may_hold(text))
+    joined = some.join(cuts, some[id_col].eqNullSafe(cuts[named]) & (F.xxhash64(text) == cuts[rest]), "left")
+    masked = F.when(F.col(cut).isNull(), some[text_col]).otherwise(_masked(text, F.col(cut), mark)).cast(docs.schema[text_col].dataType)
+    return docs.where(~may_hold(text)).unionByName(joined.select(*[masked.alias(c) if c == text_col else some[c] for c in docs.columns]))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,14 +202,14 @@ def _sql_kind(k: int, pattern: str, group: int) -> str:
 
 
 OP3_SQL = f"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
 m AS ({" UNION ALL ".join(_sql_kind(k, p, g) for k, (_, p, g, _) in enumerate((*KINDS, OWNED)))}),
 p AS (SELECT *, CAST(sum(length(gap)) OVER w + sum(n) OVER w - n AS BIGINT) AS s FROM m WINDOW w AS (PARTITION BY doc_id, k ORDER BY i)),
 h AS (SELECT doc_id, source, k, s, s + n AS e, v, ['assign', 'access', 'hex', 'owned'][k + 1] || ':' || s || ':' || (s + n) AS span FROM p WHERE length(v) >= [6, 20, 24, 20][k + 1]),
 o AS (SELECT * FROM h WHERE k = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND NOT EXISTS (SELECT 1 FROM h b WHERE b.doc_id = h.doc_id AND b.k < 3 AND b.s < h.e AND h.s < b.e)),
 c AS (SELECT * FROM h WHERE k < 3 UNION ALL SELECT * FROM o),
-f AS (SELECT v, CASE WHEN count(DISTINCT source) >= {OWNERS} THEN 'example'
-    WHEN count(DISTINCT source) = 1 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= 8 THEN 'live' ELSE 'unsure' END AS class FROM c GROUP BY v),
+f AS (SELECT v, CASE WHEN count(DISTINCT d.source) >= {OWNERS} AND count(DISTINCT d.text) >= {REPOS} THEN 'example'
+    WHEN regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= 8 THEN 'live' ELSE 'unsure' END AS class FROM c JOIN d ON d.doc_id = c.doc_id GROUP BY v),
 j AS (SELECT c.*, class FROM c JOIN f ON f.v = c.v WHERE k < 3 OR class = 'live')
 SELECT d.doc_id, count(k) FILTER (k = 0) AS n_assign, count(k) FILTER (k = 1) AS n_access, count(k) FILTER (k = 2) AS n_hex,
   sha256(coalesce(string_agg(span, ',' ORDER BY s, k) FILTER (k < 3), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY s, k), '') AS spans,
