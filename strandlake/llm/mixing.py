@@ -120,38 +120,59 @@ def plan_of(sizes: DataFrame, weights: dict[str, float] | None, block: int) -> D
     return sizes.repartition(1).mapInArrow(run, "source string, block long, slot long")
 
 
+def _hashable(docs: DataFrame) -> list[str]:
+    return [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+
+
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, seed: int = 11, rows: int = ROWS) -> DataFrame:
     """docs with mix_source, mix_block (within the source), mix_slot and mix_position (unique, the place in the mixture).
 
     weights: target weight of each source; a source without one has the least of them. Without
     weights, each source has count ** 0.5. Within a source, rows come in the order of a seeded hash
-    of their id. Every row has its place: once a source has run out the others go on at their own
-    ratios. A null source is a source. Rows that repeat an id are placed each. Weights must be
-    positive."""
+    of their id and columns, so that rows of one id, or of none, spread; only rows that are equal in
+    every column (maps left out) lie together. Every row has its place: once a source has run out
+    the others go on at their own ratios. A null source is a source, named by a zero character and
+    'null'. Rows that repeat an id, or have none, are placed each. Texts of any length and columns
+    of any name pass through; only an earlier mixture's four columns are replaced. Weights must be
+    positive. An empty table gives none.
+
+    Whole rows are shuffled once, by source and hash range; what a range needs of the schedule comes
+    to it in one small row."""
     docs = docs.drop("mix_source", "mix_block", "mix_slot", "mix_position")  # of an earlier mixture
-    source, h, bucket, rank, before, n, name, of = (free_name(docs, x) for x in ("mix_source", "__hash", "__bucket", "__rank", "__before", "__n", "__name", "__of"))
+    source, h, bucket, rank, before, slots = (free_name(docs, x) for x in ("mix_source", "__hash", "__bucket", "__rank", "__before", "__slots"))
     raw = F.coalesce(F.col(source_col).cast("string"), F.lit("\x00null"))
     target = None if weights is None else {"\x00null" if k is None else k: float(w) for k, w in weights.items()}
     if target and not all(0 < w < math.inf for w in target.values()):
         raise ValueError("weights must be positive")
-    named = docs.withColumn(source, raw).withColumn(h, F.xxhash64(F.lit(seed), F.col(id_col).cast("string")))
-    plan = written(plan_of(named.groupBy(source).count(), target, block), "mix-plan")
+    named = docs.withColumn(source, raw).withColumn(h, F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), *_hashable(docs)))
+    sizes = written(named.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n")), "mix-sizes")
+    plan = written(plan_of(sizes, target, block), "mix-plan")
     bits = max(0, math.ceil(math.log2(max(1, plan.count() * block / rows))))
 
-    # place within the source: rows before this hash range, and the rank in it
+    # place within the source: rows before this hash range, and the rank in it; a range knows the slots of its blocks
     named = named.withColumn(bucket, F.shiftrightunsigned(F.col(h), 64 - bits) if bits else F.lit(0).cast("long"))
-    counts = named.groupBy(source, bucket).agg(F.count("*").alias(n))
-    over = Window.partitionBy(source).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    ahead = counts.withColumn(before, F.coalesce(F.sum(n).over(over), F.lit(0))).drop(n)
+    counts = named.groupBy(F.col(source).alias("source"), F.col(bucket).alias("bucket")).agg(F.count("*").alias("n"))
+    over = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = counts.withColumn("before", F.coalesce(F.sum("n").over(over), F.lit(0)))
+    span = ahead.withColumn("block", F.explode(F.sequence(F.floor(F.col("before") / block), F.floor((F.col("before") + F.col("n") - 1) / block))))
+    held = span.join(plan, ["source", "block"]).groupBy("source", "bucket", "before").agg(F.transform(F.sort_array(F.collect_list(F.struct("block", "slot"))), lambda x: x["slot"]).alias("slots"))
+    held = written(held, "mix-ranges").toDF(source, bucket, before, slots)
     within = Window.partitionBy(source, bucket).orderBy(h, id_col)
-    ranked = named.withColumn(rank, F.row_number().over(within) - 1).join(ahead, [source, bucket]).withColumn(rank, F.col(rank) + F.col(before))
-    out = ranked.withColumn("mix_block", F.floor(F.col(rank) / block))
+    out = named.withColumn(rank, F.row_number().over(within) - 1).join(held, [source, bucket]).withColumn(rank, F.col(rank) + F.col(before))
+    number = F.floor(F.col(rank) / block)
+    out = out.withColumn("mix_block", number).withColumn("mix_slot", F.get(slots, (number - F.floor(F.col(before) / block)).cast("int")))
+    return out.select(*docs.columns, F.col(source).alias("mix_source"), "mix_block", "mix_slot", (F.col("mix_slot") * block + F.col(rank) % block).alias("mix_position"))
+
 
-    plan = plan.toDF(name, of, "mix_slot")
-    out = out.join(plan, (out[source] == plan[name]) & (out["mix_block"] == plan[of])).withColumn("mix_position", F.col("mix_slot") * block + F.col(rank) % block)
-    return out.select(*docs.columns, F.col(source).alias("mix_source"), "mix_block", "mix_slot", "mix_position")
+def in_order(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, **how) -> DataFrame:
+    """docs, columns as they are, in the order of the mixture: partitions are even ranges of it, sorted."""
+    spark = docs.sparkSession
+    out = mixed(docs, None, id_col, source_col, block, **how)
+    slots = docs.groupBy(source_col).agg(F.ceil(F.count("*") / block).alias("n")).agg(F.sum("n")).first()[0] or 1
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part = F.expr(f"cast(mix_slot * {parts} div {slots} as int)")
+    return out.repartitionById(parts, part).sortWithinPartitions("mix_position").select(*docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixed(docs)
+    return mixed(table(spark, sf_dir, "documents"))

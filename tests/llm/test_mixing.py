@@ -1,4 +1,6 @@
+import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,10 +60,51 @@ def test_all_rows_are_placed(spark):
         mixing.mixed(df, {"s0": 0})
 
 
-def test_query_places_each_document(spark):
-    got = mixing.op8_mixing(spark, "/root/testdata/sf0.001").collect()
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
-    assert len(got) == docs == len({r.mix_position for r in got})
+def plain_slots(sizes, block):
+    """Source of each slot: earliest deadline first among released blocks, in fractions, every block looked at in every slot."""
+    names = sorted(sizes)
+    weight = {s: Fraction(sizes[s] ** 0.5) for s in names}
+    blocks = {s: -(-sizes[s] // block) for s in names}
+    time = lambda v: sum(min(weight[s] * v, blocks[s]) for s in names)
+    todo = {s: [(math.floor(time(k / weight[s])), math.ceil(time((k + 1) / weight[s]))) for k in range(blocks[s])] for s in names}
+    out = []
+    for t in range(sum(blocks.values())):
+        _, s = min((x[0][1], s) for s, x in todo.items() if x and x[0][0] <= t)
+        todo[s].pop(0)
+        out.append(s)
+    return out
+
+
+def test_query_matches_plain_code(spark):
+    """Every document's place in op8_mixing, from the table itself."""
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.select("doc_id", F.coalesce("source", F.lit("\x00null")).alias("source"), F.xxhash64(F.lit(11), F.col("doc_id").cast("string"), *docs.columns).alias("h")).collect()
+    unsigned = lambda h: h % (1 << 64)
+    by = {}
+    for r in rows:
+        by.setdefault(r.source, []).append((unsigned(r.h), r.doc_id))
+    slots, done, want = {}, dict.fromkeys(by, 0), {}
+    for t, s in enumerate(plain_slots({s: len(v) for s, v in by.items()}, mixing.BLOCK)):
+        slots[s, done[s]] = t
+        done[s] += 1
+    for s, v in by.items():
+        for rank, (_, d) in enumerate(sorted(v)):
+            want[d] = (s, rank // mixing.BLOCK, slots[s, rank // mixing.BLOCK], slots[s, rank // mixing.BLOCK] * mixing.BLOCK + rank % mixing.BLOCK)
+    got = {r.doc_id: (r.mix_source, r.mix_block, r.mix_slot, r.mix_position) for r in mixing.op8_mixing(spark, sf).drop("text").collect()}
+    assert got == want
+
+
+def test_a_million_blocks_stay_within_one_of_the_given_weights():
+    given = [0.7, 0.299999, 1e-6]
+    w, n = [Fraction(x) for x in given], 1_000_000
+    total, count = sum(w), [0, 0, 0]
+    for t, i in enumerate(mixing.order([n] * 3, mixing.whole(given))):
+        count[i] += 1
+        if t % 997 == 0 or t > n - 2000:
+            assert all(abs(c - x / total * (t + 1)) < 1 for c, x in zip(count, w, strict=True))
+        if t == n:
+            break
 
 
 def test_each_of_many_sources_has_its_own_weight(spark):
