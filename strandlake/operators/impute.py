@@ -23,6 +23,13 @@ def interval_table(rows: DataFrame) -> DataFrame:
     return out.select("row", F.col("site").alias("start"), (F.col("next") - F.col("site") + F.col("last").isNotNull().cast("int")).alias("num"))
 
 
+def interval_chunks(intervals: DataFrame, n_chunks: int) -> DataFrame:
+    """intervals with part: even runs of intervals, one for every ten panel chunks (one at least), as a partition key."""
+    parts = max(n_chunks // 10, 1)
+    n = intervals.agg(F.count("*").alias("n")).first().n
+    return intervals.withColumn("part", F.floor(F.col("row") / max(1, -(-n // parts))))
+
+
 def site_intervals(intervals: DataFrame) -> DataFrame:
     """(site, row, k, num): each panel site in exactly one interval, k sites after its start."""
     some = intervals.where("num > 0")

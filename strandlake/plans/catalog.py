@@ -186,6 +186,11 @@ def panel_range(v: Virtual) -> DataFrame:
     return site_ops.position_range(v.sites, 70000, 90121).select("site", "pos")
 
 
+@query(sql("SELECT site, pos FROM sites WHERE pos >= 70121 AND pos < 90121"))
+def panel_range_exclusive(v: Virtual) -> DataFrame:
+    return site_ops.position_range(v.sites, 70121, 90121, inclusive=False).select("site", "pos")
+
+
 @query(sql("SELECT hap, site, allele::BIGINT AS allele FROM alleles WHERE (hap // 2) % 20 <> 0"))
 def panel_all(v: Virtual) -> DataFrame:
     return v.panel.select("hap", "site", "allele")
@@ -437,6 +442,12 @@ def interval_rows(v: Virtual) -> DataFrame:
     return v.intervals
 
 
+@query(sql("SELECT row, start, num, row // 9 AS part FROM intervals"))
+def interval_chunks(v: Virtual) -> DataFrame:
+    """As of a panel of 40 chunks: four parts of at most 9 of the 33 intervals."""
+    return impute.interval_chunks(v.intervals, 40)
+
+
 @query(sql("SELECT start + k AS site, row, k, num FROM (SELECT *, unnest(range(num)) AS k FROM intervals)"))
 def site_interval(v: Virtual) -> DataFrame:
     return impute.site_intervals(v.intervals)
