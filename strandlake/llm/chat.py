@@ -40,7 +40,13 @@ def rendered(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
 
     Participants are the roles of the whole dialogue but the system; a dialogue of system turns only
     has none. Null roles are 'unknown', null texts empty, a null turn comes first; a null conv_id is
-    a dialogue. Repeated turns are all rendered. masks are spans of text in code points."""
+    a dialogue. Repeated turns are all rendered; turns of one number (or of none) of one dialogue are
+    ranked in one piece. Texts of any length are rendered whole; '<|' in them becomes '< |', so that
+    no control mark can be forged. masks are spans of text in code points. Other columns are not
+    read, whatever their names. An empty table gives none.
+
+    The chunks of a dialogue and perspective, end to end in their order, are the whole dialogue; see
+    whole()."""
     t = base(turns, conv_col, turn_col, role_col, text_col, span)
     at, whole = ["lone", "key", "part"], ["lone", "key"]
     people = t.where(F.col("role") != SYSTEM).select(*whole, F.col("role").alias("perspective")).distinct()
@@ -69,6 +75,18 @@ def rendered(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     return rows.select("conv_id", "perspective", "chunk", F.size("turns").cast("long").alias("n_turns"), F.size("masks").cast("long").alias("n_own"), text.alias("text"), "masks")
 
 
+def whole(chunks: DataFrame) -> DataFrame:
+    """(conv_id, perspective, n_turns, n_own, text, masks): the chunks of rendered() put together, a row for each dialogue and participant.
+
+    For dialogues that fit into a row (2 GB of text); longer ones stay in chunks. masks are spans of
+    the whole text."""
+    held = chunks.groupBy("conv_id", "perspective").agg(F.sum("n_turns").alias("n_turns"), F.sum("n_own").alias("n_own"), F.sort_array(F.collect_list(F.struct("chunk", "text", "masks"))).alias("all"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<s:bigint,e:bigint>>").alias("masks"))
+    moved = lambda a, x: F.concat(a["masks"], F.transform(x["masks"], lambda m: F.struct((m["s"] + a["at"]).alias("s"), (m["e"] + a["at"]).alias("e"))))
+    masks = F.aggregate("all", start, lambda a, x: F.struct((a["at"] + F.char_length(x["text"])).alias("at"), moved(a, x).alias("masks")), lambda a: a["masks"])
+    return held.select("conv_id", "perspective", "n_turns", "n_own", F.array_join(F.transform("all", lambda x: x["text"]), "").alias("text"), masks.alias("masks"))
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.array_join(F.transform("masks", lambda x: F.concat_ws(":", x["s"], x["e"])), ",")
     return rendered(table(spark, sf_dir, "conversations")).withColumn("masks", said)

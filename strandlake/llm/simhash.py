@@ -196,8 +196,10 @@ def links(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, blocks: int
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, chunk: int = CHUNK) -> DataFrame:
     """One row per input row: doc_id, fp (signed long), component_id (smallest doc_id reachable by links).
 
-    Null or empty text has fingerprint 0 and links as any other. Rows that repeat a doc_id each give
-    a row. A null doc_id is kept and takes its component's smallest id. An empty table gives none."""
+    Null or empty text has fingerprint 0 and links as any other; very long texts are counted whole, in
+    stretches of 65,536 shingles. Rows that repeat a doc_id each give a row. A null doc_id is kept and
+    takes its component's smallest id. Other columns are not read, whatever their names. An empty
+    table gives none."""
     fps = written(fingerprints(docs, id_col, text_col, shingle, seed), "simhash")
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = components(links(distinct.select("fp"), radius, chunk))

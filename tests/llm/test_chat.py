@@ -46,3 +46,14 @@ def test_rotation_of_odd_dialogues(spark):
     got = {(r.conv_id, r.perspective, r.chunk): (r.text, [(m.s, m.e) for m in r.masks]) for r in chat.rendered(df, chunk=7, span=16).collect()}
     assert got == plainly(rows, 7, 16)
     assert chat.rendered(df.limit(0)).count() == 0
+
+
+def test_chunks_end_to_end_are_the_whole_dialogue(spark):
+    rows = [(1, i, ["ann", "bob", "system"][i % 3], f"é😀 {i}") for i in range(50)] + [(2, 0, "ann", None), (2, 1, "bob", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    parts = chat.whole(chat.rendered(df, chunk=7, span=16)).collect()
+    once = {(r.conv_id, r.perspective): r for r in chat.rendered(df, chunk=1000, span=1000).collect()}
+    assert len(parts) == len(once) == 4
+    for r in parts:
+        o = once[r.conv_id, r.perspective]
+        assert (r.text, r.n_turns, r.n_own, [tuple(m) for m in r.masks]) == (o.text, o.n_turns, o.n_own, [tuple(m) for m in o.masks])
