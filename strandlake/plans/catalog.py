@@ -15,7 +15,7 @@ from ..operators import weights as weight_ops
 from ..sources import files as side_files
 from ..sources import panel as panel_store
 from ..sources import vcf
-from .virtual import CHUNK, Capped, Sparse, Virtual, store
+from .virtual import CHUNK, Capped, Sparse, Virtual, Wide, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -327,6 +327,25 @@ def sparse_coverage(v: Virtual) -> DataFrame:
     return select.stabbed(v.cover).groupBy("target_hap", "n").agg(F.count("*").alias("runs"))
 
 
+# ---- the same over many more sites
+
+BROAD = {
+    dict(CTES)["alleles"]: "SELECT vec_id AS hap, site, CASE WHEN embedding[site % 64 + 1] * embedding[(site // 64 * 11 + site + 1) % 64 + 1] > 0 THEN 1 ELSE 0 END AS allele FROM embeddings, (SELECT unnest(range(2048)) AS site)",
+    "n < 31": "n < 1023",
+    "count(*) >= 5": "count(*) >= 10",
+}
+
+
+@query(varied(sql("SELECT target_hap, ref_hap, start, len FROM runs"), BROAD), Wide)
+def wide_match_runs(v: Virtual) -> DataFrame:
+    return v.runs
+
+
+@query(varied(sql("SELECT * FROM top60"), BROAD), Wide)
+def wide_match_top60(v: Virtual) -> DataFrame:
+    return v.matches
+
+
 # ---- coverage and selection
 
 

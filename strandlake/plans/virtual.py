@@ -36,6 +36,8 @@ def letter(letters: str, site: Column) -> Column:
 
 
 class Virtual(Stages):
+    width: int | None = None  # sites; by default one for each component
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
@@ -44,12 +46,17 @@ class Virtual(Stages):
 
     @cached_property
     def alleles(self) -> DataFrame:
+        if self.width:  # a site's allele is the sign of a product of two components
+            at = F.explode(F.sequence(F.lit(0), F.lit(self.width - 1)))
+            e = self.table("embeddings").select(F.col("vec_id").cast("int").alias("hap"), "embedding", at.alias("site"))
+            one, other = F.get("embedding", F.col("site") % 64), F.get("embedding", (F.floor(F.col("site") / 64).cast("int") * 11 + F.col("site") + 1) % 64)
+            return e.select("hap", F.col("site").cast("long").alias("site"), (one * other > 0).cast("int").alias("allele"))
         e = self.table("embeddings").select(F.col("vec_id").cast("int").alias("hap"), F.posexplode("embedding").alias("site", "x"))
         return e.select("hap", F.col("site").cast("long").alias("site"), (F.col("x") > 0).cast("int").alias("allele"))
 
     @cached_property
     def sites(self) -> DataFrame:
-        s = self.table("embeddings").select(F.max(F.size("embedding")).alias("n")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("site"))
+        s = self.table("embeddings").select((F.lit(self.width) if self.width else F.max(F.size("embedding"))).alias("n")).limit(1).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("site"))
         s = s.select("site", F.lit(CHROM).alias("chrom"), position(F.col("site")).alias("pos"), letter("ACGT", F.col("site")).alias("ref"), letter("CGTA", F.col("site")).alias("alt"))
         s = s.withColumn("id", variant_id(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt"))).withColumn("original_id", F.when(F.col("site") % 3 == 0, F.concat(F.lit("rs"), "site")).otherwise(""))
         return written(site_ops.chunked(s, CHUNK), "sites")
@@ -105,6 +112,12 @@ class Sparse(Virtual):
     match_length = 9
 
 
+class Wide(Virtual):
+    """Thirty-two times as many sites, for runs of ten or more of 1,024 typed ones."""
+
+    width, match_length = 2048, 10
+
+
 STORES: dict[tuple, Virtual] = {}
 
 
