@@ -1,9 +1,13 @@
 """Exact metric range join of vectors by cosine, and the groups its links form.
 
-Unit vectors at cosine >= t lie within r = sqrt(2 - 2t). A bounded sample of vectors serves as
-pivots; every vector belongs to the cell of its nearest pivot. A vector meets another cell only if
-the triangle inequality lets a member of that cell be within r, and cells join independently, pair
-by pair. Cells with many vectors are cut into parts, so no task holds more than two parts.
+Unit vectors at cosine >= t lie within r = sqrt(2 - 2t). Pivots are the centres of a bounded sample;
+every vector belongs to the cell of its nearest pivot. A vector meets another cell only if the
+triangle inequality lets a member of that cell be within r, and cells join independently, pair by
+pair. Cells with many vectors are cut into parts of bounded size, so no task holds more than two.
+
+More pivots make fewer pairs but more replicas. Their number is the one that costs least on the
+sample, by its own replication and cell sizes: many where vectors are clustered, few where they are
+not and the triangle inequality rules out little.
 """
 
 from __future__ import annotations
@@ -16,12 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .clusters import centres
 from .common import salt_of, table, whole_groups, written
 from .components import components
 from .simhash import join_labels
 
-PART = 4096
-PIVOTS = 256
+PART_BYTES = 4 << 20  # of a part's vectors, as floats
+SAMPLE = 8192
+PIVOTS = (8, 32, 128, 512)  # numbers of pivots that are weighed
+SHIP, PAIR = 3e-6, 1e-10  # seconds to send a replica, and to compare a pair for each dimension: they only weigh one number of pivots against another
 MARGIN = 1e-4  # single precision decides pairs further from the threshold than this, double the rest
 
 
@@ -72,9 +79,13 @@ class Cells:
 
     The last cell takes vectors of lengths without a pivot; it meets no other cell."""
 
-    def __init__(self, pivots: list[bytes], wide: bool, radius: float):
-        self.wide, self.r, self.n = wide, radius + 1e-9, len(pivots)
-        self.pivots = {k: (at, units([pivots[i] for i in at], wide)) for k, at in by_length(pivots).items()}
+    def __init__(self, pivots: dict[int, np.ndarray], wide: bool, radius: float):
+        """pivots: unit vectors by the number of bytes of a vector."""
+        self.wide, self.r, self.pivots = wide, radius + 1e-9, {}
+        self.n = 0
+        for k, p in sorted(pivots.items()):
+            self.pivots[k] = (np.arange(self.n, self.n + len(p)), p)
+            self.n += len(p)
         self.reach = np.zeros(self.n + 1)
         self.parts = np.ones(self.n + 1, dtype=np.int64)
 
@@ -110,6 +121,34 @@ class Cells:
         return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
+def chosen(sample: list[bytes], n: int, wide: bool, radius: float, part_bytes: int, counts: tuple[int, ...]) -> Cells:
+    """The cells whose join of n vectors costs least, weighed on a sample of them."""
+    pivots: dict[int, np.ndarray] = {}
+    for size, at in by_length(sample).items():
+        rows = [sample[i] for i in at]
+        unit, scale = units(rows, wide), n / len(sample)
+        dim, best = unit.shape[1], np.inf
+        for k in counts:
+            if k > counts[0] and k > len(rows) / 8:
+                break
+            cells = Cells({size: centres(unit, k)}, wide, radius)
+            home, far = cells.home(rows)
+            np.maximum.at(cells.reach, home, far)
+            held = np.bincount(home, minlength=cells.n + 1) * scale
+            parts = np.ceil(held / part_of(dim, part_bytes))
+            _, other = cells.meets(rows, home)
+            met = np.r_[home, other]
+            cost = scale * (SHIP * parts[met].sum() + PAIR * dim * held[met].sum())
+            if cost < best:
+                best, pivots[size] = cost, cells.pivots[size][1]
+    return Cells(pivots, wide, radius)
+
+
+def part_of(dim: int, part_bytes: int) -> int:
+    """Vectors of a part."""
+    return max(1, part_bytes // (4 * max(1, dim)))
+
+
 def pair_links(a: np.ndarray, b: np.ndarray, same: bool, threshold: float, step: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of unit vectors at cosine >= threshold; with same, each unordered pair once."""
     a32, b32 = a.astype(np.float32), b.astype(np.float32)
@@ -128,20 +167,22 @@ def pair_links(a: np.ndarray, b: np.ndarray, same: bool, threshold: float, step:
         yield r[keep], c[keep]
 
 
-def link_groups(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, part: int = PART, pivots: int = PIVOTS) -> DataFrame:
+def link_groups(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, part_bytes: int = PART_BYTES, pivots: tuple[int, ...] = PIVOTS) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
     Vectors that are null, empty, zero or hold null or non-finite components have no links, are
     their own component and kept. Vectors of different lengths don't link. Rows with equal vectors
     are joined as one and counted with their number. Rows that repeat a vec_id are rows of their
-    own, count as links of each other, and share that id's component. Needs 0 < threshold <= 1."""
+    own, count as links of each other, and share that id's component. A row with a null vec_id has
+    no links and is kept. Other columns are not read, whatever their names. An empty table
+    gives none. Needs 0 < threshold <= 1."""
     wide = dict(df.dtypes)[vec_col] != "array<float>"
-    rows = written(prepared(df, id_col, vec_col).withColumn("key", F.sha2("vec", 256)), "vectors")
-    some = rows.where("vec is not null")
+    rows = written(prepared(df, id_col, vec_col).withColumn("key", F.when(F.col("vec_id").isNotNull(), F.sha2("vec", 256))), "vectors")
+    some = rows.where("key is not null")
     reps = written(some.groupBy("key").agg(F.min("vec_id").alias("rid"), F.any_value("vec").alias("vec"), F.count("*").alias("copies")), "vector-texts")
     n = reps.count()
-    chosen = [bytes(r.vec) for r in reps.orderBy(F.xxhash64("key"), "key").select("vec").limit(max(1, min(pivots, -(-n // part)))).collect()]
-    cells = Cells(chosen, wide, math.sqrt(max(0.0, 2 - 2 * threshold)))
+    sample = [bytes(r.vec) for r in reps.orderBy(F.xxhash64("key"), "key").select("vec").limit(SAMPLE).collect()]
+    cells = chosen(sample, n, wide, math.sqrt(max(0.0, 2 - 2 * threshold)), part_bytes, pivots)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -149,8 +190,8 @@ def link_groups(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(far)], names=["rid", "vec", "copies", "cell", "far"])
 
     placed = written(reps.select("rid", "vec", "copies").mapInArrow(place, "rid long, vec binary, copies long, cell long, far double"), "vector-cells")
-    for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():  # a row for each pivot
-        cells.parts[r.cell], cells.reach[r.cell] = -(-r.n // part), r.far
+    for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.max(F.octet_length("vec")).alias("size")).collect():  # a row for each pivot
+        cells.parts[r.cell], cells.reach[r.cell] = -(-r.n // part_of(r.size // (8 if wide else 4), part_bytes)), r.far
     offset = np.r_[0, np.cumsum(cells.parts)]
     total = int(offset[-1])
 

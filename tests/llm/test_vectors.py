@@ -3,6 +3,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.llm import metric_join, topk
 
@@ -38,8 +39,6 @@ def test_search_small_parts_ties_and_odd_rows(spark):
     rows += [(i, rows[3][1]) for i in range(90, 110)] + [(200, None), (201, [None, 1.0]), (202, [float("nan")] * 6), (203, []), (250, [1.0, 2.0]), (None, [1.0] * 6), (300, [1e300, -1e300, 0.0, 0.0, 0.0, 0.0])]
     rows += [rows[5]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    from pyspark.sql import functions as F
-
     df = df.withColumn("block", F.lit(1)).withColumn("score", F.lit("x"))
     got = rows_of(topk.search(df, F.col("vec_id") % 5 == 0, 4, block=8, shard=2, bundle=5), ["query_id", "rank", "vec_id", "score"])
     live = [(i, [int(np.clip(np.floor(256 * x), -(2.0**62), 2.0**62)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
@@ -52,7 +51,8 @@ def test_search_small_parts_ties_and_odd_rows(spark):
     assert topk.search(df.limit(0), F.col("vec_id") % 5 == 0, 4).count() == 0
 
 
-def test_links_small_parts_ties_and_odd_rows(spark):
+@pytest.mark.parametrize("pivots", [(4,), (2, 16, 32), metric_join.PIVOTS])
+def test_links_small_parts_ties_and_odd_rows(spark, pivots):
     rng = np.random.default_rng(6)
     rows = []
     for _ in range(30):
@@ -62,8 +62,8 @@ def test_links_small_parts_ties_and_odd_rows(spark):
     rows += [(1000 + i, rows[7][1]) for i in range(25)]
     rows += [(2000, None), (2001, [0.0] * 5), (2002, [float("inf")] * 5), (2003, [None] * 5), (2004, []), (2005, [1.0, 0.0]), (2006, [2.0, 0.0]), (2007, [x * 1e200 for x in rows[0][1]])]
     random.Random(1).shuffle(rows)
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = rows_of(metric_join.link_groups(df, part=16, pivots=4), ["vec_id", "n_links", "component_id", "kept"])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("key", "vec", "cell", "copies", "rid", "task")})
+    got = rows_of(metric_join.link_groups(df, part_bytes=320, pivots=pivots), ["vec_id", "n_links", "component_id", "kept"])
     unit = {i: np.array(v) / np.abs(v).max() for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     root = {i: i for i, _ in rows}
     n = dict.fromkeys(root, 0)
