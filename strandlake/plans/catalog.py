@@ -532,7 +532,7 @@ def _lines(v: Virtual, df: DataFrame, label: str) -> str:
     return path
 
 
-@query(sql("SELECT '20' AS chrom, pos, round(cm, 9) AS cm FROM gmap"))
+@query(sql("SELECT '20' AS chrom, pos::BIGINT AS pos, round(cm, 9) AS cm FROM gmap"))
 def file_genetic_map(v: Virtual) -> DataFrame:
     rows = v.genetic_map.select(F.col("pos").alias("i"), F.concat_ws(" ", "chrom", F.lit("."), F.col("cm").cast("string"), "pos").alias("value"))
     note = v.spark.createDataFrame([(0, "# chromosome name cM position")], "i long, value string")
@@ -643,7 +643,7 @@ def file_imputed_records(v: Virtual) -> DataFrame:
     return vcf.lines(v.spark, imputed_file(v)).where(~F.col("value").startswith("#")).select(F.col("value").alias("record"))
 
 
-@query(sql("SELECT s.id AS variant, 'S' || g.sample_idx AS sample_idx, h, CASE WHEN s.site % 2 = 0 THEN a.allele WHEN h = 0 THEN gt1 ELSE gt2 END::BIGINT AS allele FROM gts g, (SELECT unnest([0, 1]) AS h) hh, sites s, alleles a WHERE s.site = g.site AND a.site = g.site AND a.hap = g.sample_idx * 2 + h AND s.pos BETWEEN 70000 AND 90121 AND g.sample_idx IN (0, 20)"))
+@query(sql("SELECT s.id AS variant, 'S' || g.sample_idx AS sample_idx, h::BIGINT AS h, CASE WHEN s.site % 2 = 0 THEN a.allele WHEN h = 0 THEN gt1 ELSE gt2 END::BIGINT AS allele FROM gts g, (SELECT unnest([0, 1]) AS h) hh, sites s, alleles a WHERE s.site = g.site AND a.site = g.site AND a.hap = g.sample_idx * 2 + h AND s.pos BETWEEN 70000 AND 90121 AND g.sample_idx IN (0, 20)"))
 def file_scored_region(v: Virtual) -> DataFrame:
     """The scorer's scan of an imputed file: a region, two samples by name."""
     return vcf.scored_alleles(vcf.lines(v.spark, imputed_file(v)), ["S0", "S20"], "20", 70000, 90121).select("variant", "sample_idx", "h", "allele")
