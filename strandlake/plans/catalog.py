@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import plain_number, short_number
 from ..functions.tables import shared_path
-from ..operators import calls, impute, match, score, select
+from ..operators import calls, impute, score, select
 from ..operators import sites as site_ops
 from ..operators import weights as weight_ops
 from ..sources import files as side_files
