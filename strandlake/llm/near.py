@@ -4,11 +4,16 @@ SimHash links (few bits) come first and gather most copies cheaply; each is veri
 a fingerprint is sure to hold all pairs of a given similarity, so the rest are found by prefixes:
 under one order of all shingles, two sets of similarity 4/5 or more share one of the first
 n - ceil(4 n / 5) + 1 shingles of each. Only pairs that are not yet in one component are compared.
+
+Prefixes are made anew from the texts each time they are needed. First only (key, component) is
+counted; keys that lie in two components or more are few, and only their rows are dealt again. A
+pair is first held against parity bitmaps: two sets differ in as many elements at least as their
+bitmaps in bits. Texts travel only where that does not rule a pair out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -18,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import salt_of, whole_groups, written
+from .common import Bits, salt_of, whole_groups, written
 from .components import components
 
 SHINGLE, SEED = 5, 42
 SAMPLE, COMMON = 20_000, 100_000  # the order of shingles is made from so many documents, and holds so many common shingles
 CHUNK = 1024
+BITS = 1 << 16  # of a parity bitmap at most
+Order = tuple[np.ndarray, np.ndarray]
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -35,6 +42,11 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), dtype=np.uint64))
 
 
+def node_of(hashes: np.ndarray) -> int:
+    """Digest of a set of shingles, as a signed long."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
+
+
 def simhash_of(hashes: np.ndarray) -> int:
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
@@ -42,7 +54,22 @@ def simhash_of(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def common_shingles(texts: DataFrame, sample: int = SAMPLE, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+def parity_of(hashes: np.ndarray) -> bytes:
+    """Of each place of a bitmap whether an odd number of hashes fall on it; about twice as many places as hashes."""
+    n = min(BITS, max(64, 1 << (2 * len(hashes)).bit_length()))
+    odd = np.bincount((hashes & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differ(a: bytes, b: bytes) -> int:
+    """How many elements two sets differ in at least; the longer bitmap is folded to the shorter's length."""
+    x, y = sorted((np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def common_shingles(texts: DataFrame, sample: int = SAMPLE, most: int = COMMON) -> Order:
     """(sorted hashes, counts) of the shingles that stand in most texts of a bounded sample. They only set the order: any order is exact."""
     share = min(1.0, sample / max(1, texts.count()))
 
@@ -52,13 +79,13 @@ def common_shingles(texts: DataFrame, sample: int = SAMPLE, most: int = COMMON)
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(x.as_py()).view(np.int64))], names=["h"])
 
     part = texts.where(F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = part.select("text").mapInArrow(run, "h long").groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(most).collect()
-    h, n = np.array([r.h for r in rows], dtype=np.int64).view(np.uint64), np.array([r["count"] for r in rows], dtype=np.int64)
+    rows = part.select("text").mapInArrow(run, "h long").groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(most).toArrow()
+    h, n = rows["h"].to_numpy().view(np.uint64), rows["count"].to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
 
 
-def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def prefix(hashes: np.ndarray, common: Order) -> np.ndarray:
     """The rarest n - ceil(4 n / 5) + 1 of n sorted hashes, in the order of (count in the sample, hash)."""
     known, count = common
     rank = np.zeros(len(hashes), dtype=np.int64)
@@ -68,36 +95,70 @@ def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndar
     return hashes[np.argsort(rank, kind="stable")][: len(hashes) - -(-4 * len(hashes) // 5) + 1]
 
 
-def sketches(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """docs(doc_id, text, th) -> (doc_id, th, node, fp, n, rare): node is a digest of the set of shingles, n its size, rare its prefix."""
+def sketches(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text, th) -> (doc_id, th, node, fp, n, parity): node is a digest of the set of shingles, n its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, fp, n, rare = [], [], [], []
+            out: list[list] = [[], [], [], []]
             for x in b.column(1):
                 s = shingles(x.as_py())
-                node.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
-                fp.append(simhash_of(s))
-                n.append(len(s))
-                rare.append(prefix(s, common).view(np.int64))
-            ends = np.cumsum([0, *map(len, rare)], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rare, np.empty(0, dtype=np.int64)])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(fp, pa.int64()), pa.array(n, pa.int32()), lists], names=["doc_id", "th", "node", "fp", "n", "rare"])
+                for c, f in zip(out, (node_of, simhash_of, len, parity_of), strict=True):
+                    c.append(f(s))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["doc_id", "th", "node", "fp", "n", "parity"])
+
+    return docs.mapInArrow(run, "doc_id long, th long, node long, fp long, n long, parity binary")
 
-    return docs.mapInArrow(run, "doc_id long, th long, node long, fp long, n int, rare array<long>")
 
+def keyed(texts: DataFrame, common: Order, unless: Bits | None = None, only: Bits | None = None, never: Bits | None = None) -> DataFrame:
+    """texts(th, root, text) -> (key, node, root, n, pos): a row for each shingle of a text's prefix.
 
-def candidates(nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """nodes(node, root, n, rare) -> distinct pairs (u, v) of different roots that may be similar."""
-    keyed = nodes.select("node", "root", "n", F.posexplode("rare").alias("pos", "key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key", F.ceil(F.col("c") / chunk).cast("int").alias("parts"))
-    placed = keyed.join(sizes, "key").withColumn("mine", salt_of(F.col("node"), F.col("parts")))
-    pairs = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.least(x, F.col("mine")) * F.col("parts") + F.greatest(x, F.col("mine"))))
-    tasks = placed.select("node", "root", "n", "pos", "key", F.explode(pairs).alias("pair")).select(F.xxhash64("key", "pair").alias("task"), "node", "root", "n", "pos")
+    root null: the node itself. unless: texts whose th may be in it are left out; only: keys that
+    surely are not in it are; never: keys that may be in it. A task gives equal texts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["task"]):
-            task, node, root, n, pos = (t[c].to_numpy().astype(np.int64) for c in ("task", "node", "root", "n", "pos"))
+        seen: set[int] = set()
+        names = ["key", "node", "root", "n", "pos"]
+        held: list[list[np.ndarray]] = [[] for _ in names]
+        size = 0
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in held], names=names)
+
+        for b in batches:
+            th = b.column(0).to_numpy()
+            skip = unless.has(th) if unless else np.zeros(len(th), dtype=bool)
+            for i, h in enumerate(th.tolist()):
+                if skip[i] or h in seen:
+                    continue
+                if len(seen) < 1 << 20:
+                    seen.add(h)
+                s = shingles(b.column(2)[i].as_py())
+                key = prefix(s, common).view(np.int64)
+                pos = np.arange(len(key))
+                if only:
+                    pos = np.flatnonzero(only.has(key) & ~never.has(key) if never else only.has(key))
+                node = node_of(s)
+                root = b.column(1)[i].as_py()
+                for c, x in zip(held, (key[pos], np.full(len(pos), node), np.full(len(pos), node if root is None else root), np.full(len(pos), len(s)), pos), strict=True):
+                    c.append(x.astype(np.int64))
+                size += len(pos)
+                if size > 50_000:
+                    yield rows()
+                    held, size = [[] for _ in names], 0
+        if size:
+            yield rows()
+
+    return texts.select("th", "root", "text").mapInArrow(run, "key long, node long, root long, n long, pos long")
+
+
+def similar_pairs(rows: DataFrame, group: str) -> DataFrame:
+    """rows(group, node, root, n, pos) -> pairs (u, v) of one group and different roots that may be similar. Groups are of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, [group]):
+            task, node, root, n, pos = (t[c].to_numpy().astype(np.int64) for c in (group, "node", "root", "n", "pos"))
             at, step = np.arange(len(task)), 0
             while True:  # rows with those 1, 2, ... places on, as long as they are of the same task
                 step += 1
@@ -112,7 +173,14 @@ def candidates(nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
                     both = np.unique(np.sort(np.stack([node[i[ok]], node[j[ok]]]), axis=0), axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["u", "v"])
 
-    return tasks.repartition("task").sortWithinPartitions("task").mapInArrow(run, "u long, v long").distinct()
+    return rows.select(group, "node", "root", "n", "pos").repartition(group).sortWithinPartitions(group).mapInArrow(run, "u long, v long")
+
+
+def chunked(rows: DataFrame, often: DataFrame, chunk: int) -> DataFrame:
+    """rows of the keys in often(key, c) with task in place of key: a key's rows are cut into chunks, and each pair of chunks is a task."""
+    placed = rows.join(often.select("key", F.ceil(F.col("c") / chunk).cast("int").alias("parts")), "key").withColumn("mine", salt_of(F.col("node"), F.col("parts")))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.least(x, F.col("mine")) * F.col("parts") + F.greatest(x, F.col("mine")))
+    return placed.select("node", "root", "n", "pos", "key", F.explode(pairs).alias("pair")).withColumn("task", F.xxhash64("key", "pair"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -130,27 +198,82 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "s", "t").mapInArrow(run, "u long, v long")
 
 
+def not_ruled_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (u, v, nu, nv, pu, pv) whose bitmaps allow a similarity of 4/5: then they differ in a ninth of both sizes at most."""
+    for b in batches:
+        n = b["nu"].to_numpy() + b["nv"].to_numpy()
+        keep = [9 * differ(x.as_py(), y.as_py()) <= k for x, y, k in zip(b["pu"], b["pv"], n.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b["u"], b["v"]], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+
+def once(texts: DataFrame, bits: Bits) -> DataFrame:
+    """(th, text) of each different text whose th may be in bits; a task sends equal texts once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            at = []
+            for i in np.flatnonzero(bits.has(b.column(0).to_numpy())).tolist():
+                h = b.column(0)[i].as_py()
+                if h not in seen:
+                    at.append(i)
+                    if len(seen) < 1 << 20:
+                        seen.add(h)
+            if at:
+                yield b.take(pa.array(at))
+
+    return texts.select("th", "text").mapInArrow(run, "th long, text string").groupBy("th").agg(F.first("text").alias("text"))
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, sample: int = SAMPLE) -> DataFrame:
     """One row per input row: doc_id and component_id, the smallest doc_id reached by links of similarity 4/5 or more.
 
-    Texts without a word are alike. A null doc_id takes its component's smallest id."""
+    Texts without a word (null, empty or blank) are alike. Texts of fewer than five words are alike
+    if all their words are. Rows that repeat a doc_id each give a row; a null doc_id takes its
+    component's smallest id. Very long texts are read whole. An empty table gives none."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    base = base.withColumn("th", F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")))
-    rows = written(sketches(base, common_shingles(base, sample)), "near-sketches")
-    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), *[F.first(c).alias(c) for c in ("fp", "n", "rare")]), "near-nodes")
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near-pairs")
-        ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "th"), "node")
-        texts = written(base.select("th", "text").join(ends, "th").groupBy("node").agg(F.first("text").alias("text")), "near-texts")
-        return written(verified(pairs, texts), "near-links")
+    base = base.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = written(sketches(base), "near-sketches")
+    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("th").alias("th"), F.first("parity").alias("parity")), "near-nodes")
+
+    def checked(pairs: Callable[[], DataFrame]) -> tuple[DataFrame, DataFrame, Bits]:
+        """(links, texts met (th, node or null, text), which th those are)."""
+        found = pairs().where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
+        found = found.join(side("u"), "u").join(side("v"), "v").where("5 * least(nu, nv) >= 4 * greatest(nu, nv)")
+        found = written(found.select("u", "v", "nu", "nv", "pu", "pv").mapInArrow(not_ruled_out, "u long, v long"), "near-pairs")
+        ends = nodes.join(found.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node").select("node", "th")
+        bits = Bits.of(ends, "th")
+        texts = written(once(base, bits).join(ends, "th", "left").select("th", "node", "text"), "near-texts")
+        return written(verified(found, texts.where("node is not null")), "near-links"), texts, bits
 
     rep = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
-    same = nodes.join(rep, "fp").select(F.col("node").alias("u"), F.col("rep").alias("v"))
-    few = simhash.links(rep.select("fp")).join(rep.toDF("u", "ru"), "u").join(rep.toDF("v", "rv"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
-    first = checked(same.unionByName(few))
-    rooted = nodes.join(components(first).withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left").withColumn("root", F.coalesce("root", "node"))
-    links = first.unionByName(checked(candidates(rooted.select("node", "root", "n", "rare"), chunk)))
+
+    def near_bits() -> DataFrame:
+        same = nodes.join(rep, "fp").select(F.col("node").alias("u"), F.col("rep").alias("v"))
+        few = simhash.links(rep.select("fp")).join(rep.toDF("u", "ru"), "u").join(rep.toDF("v", "rv"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
+        return same.unionByName(few)
+
+    first, met, bits = checked(near_bits)
+    common = common_shingles(base, sample)
+    met = written(met.join(components(first), "node", "left"), "near-met")
+
+    def all_keys(only: Bits | None = None, never: Bits | None = None) -> DataFrame:
+        others = base.withColumn("root", F.lit(None).cast("long"))
+        return keyed(others, common, bits, only, never).unionByName(keyed(met, common, None, only, never))
+
+    counts = all_keys().groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("c"))
+    met_again = written(counts.select("key", "c", (F.col("a") < F.col("b")).alias("shared")).where(f"shared or c > {chunk}"), "near-shared")
+
+    def rest() -> DataFrame:
+        shared, often = met_again.where("shared"), met_again.where(F.col("c") > chunk)
+        if often.isEmpty():
+            return similar_pairs(all_keys(Bits.of(shared, "key")), "key")
+        hot = Bits.of(often, "key")  # of one component or of more: none of them may come to a task whole
+        cold = similar_pairs(all_keys(Bits.of(shared.where(F.col("c") <= chunk), "key"), hot), "key")
+        return cold.unionByName(similar_pairs(chunked(all_keys(hot), often.where("shared"), chunk), "task"))
+
+    links = first.unionByName(checked(rest)[0])
     joined = nodes.select("node", "least").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.select("doc_id", "node").join(joined.join(lowest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")

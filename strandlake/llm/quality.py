@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, table, written
+from .common import table, without_ids, written
 
 FEATURES = (
     "log_words", "mean_word", "long_words", "upper", "letters", "digits", "marks", "symbols", "bars", "shouts",
@@ -161,48 +161,6 @@ def shrunk(s: Column, n: Column, toward: Column, strength: float) -> Column:
     return F.when(n > 0, (s + strength * toward) / (n + strength)).otherwise(toward)
 
 
-class Judge:
-    """The fitted model and the posteriors of all paths and hosts of some documents."""
-
-    def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host_col: str, path_col: str, sample: int, keep: float):
-        self.text, self.keep = text_col, keep
-        self.host, self.path = (F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in (host_col, path_col))
-        base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), self.host.alias("host"), self.path.alias("path"))
-        rows = written(feature_table(base), "features")
-        model = self.model = fit(rows, labels, sample)
-
-        @F.pandas_udf("double")
-        def logit(x):
-            return type(x)(model.logit(np.array(x.tolist(), dtype=float).reshape(len(x), len(FEATURES))))
-
-        @F.pandas_udf("double")
-        def logit_of(x):
-            return type(x)(model.logit(np.array([features(t) for t in x]).reshape(len(x), len(FEATURES))))
-
-        self.logit_of = logit_of
-        self.own = written(rows.select("doc_id", "host", "path", logit("x").alias("logit")), "evidence")
-        p = chance(F.col("logit"))
-        sums = written(self.own.groupBy("host", "path").agg(F.sum(p).alias("s"), F.count("*").alias("n"), F.sum(p * p).alias("q")), "paths")
-        self.mean, self.of_host, self.of_path = strengths(sums)
-        hosts = sums.groupBy("host").agg(F.sum("s").alias("hs"), F.sum("n").alias("hn"))
-        paths = sums.join(hosts, "host").select(F.struct("host", "path").alias("at"), F.struct("s", "n", "hs", "hn").alias("sums"))
-        self.paths = F.broadcast(paths) if sums.count() <= PATHS else paths
-
-    def score(self, df: DataFrame, logit: Column, host: Column, path: Column) -> tuple[DataFrame, dict[str, Column]]:
-        """(df joined with its paths, the columns evidence, host_posterior, path_posterior, score and keep)."""
-        at, sums, own = (free_name(df, x) for x in ("__at", "__sums", "__logit"))
-        paths = self.paths.toDF(at, sums)
-        df = df.withColumn(own, logit)
-        df = df.join(paths, F.struct(host.alias("host"), path.alias("path")) == paths[at])
-        s, n, hs, hn = (F.col(sums)[x] for x in ("s", "n", "hs", "hn"))
-        p, g = chance(F.col(own)), F.lit(self.mean)
-        host_posterior = shrunk(hs, hn, g, self.of_host)
-        without = shrunk(s - p, n - 1, shrunk(hs - p, hn - 1, g, self.of_host), self.of_path)
-        score = chance(F.col(own) + log_odds(without) - log_odds(g))
-        keep = F.lit(True) if self.model.single else score >= self.keep
-        return df, {"evidence": p, "host_posterior": host_posterior, "path_posterior": shrunk(s, n, host_posterior, self.of_path), "score": score, "keep": keep}
-
-
 def chance(logit: Column) -> Column:
     return 1 / (1 + F.exp(-logit))
 
@@ -214,18 +172,31 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     host or path of its own. Without labels, or with one kind only, the evidence is even and all is
     kept. Labels that contradict each other all count. Rows that repeat a doc_id are scored each.
     Other columns are not read, whatever their names. An empty table gives none."""
-    judge = Judge(docs, labels, id_col, text_col, host_col, path_col, sample, keep)
-    df, found = judge.score(judge.own, F.col("logit"), F.col("host"), F.col("path"))
-    return df.select("doc_id", *[c.alias(n) for n, c in found.items()])
-
-
-def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", keep: float = KEEP, sample: int = SAMPLE) -> DataFrame:
-    """docs without the rows that the classifier rejects; all columns stay, and rows stay where they are.
-
-    Features are computed again beside the text, so that no text is shuffled."""
-    judge = Judge(docs, labels, id_col, text_col, host_col, path_col, sample, keep)
-    df, found = judge.score(docs, judge.logit_of(F.col(text_col).cast("string")), judge.host, judge.path)
-    return df.where(found["keep"]).select(*docs.columns)
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")).alias(n) for c, n in ((host_col, "host"), (path_col, "path"))])
+    rows = written(feature_table(base), "features")
+    model = fit(rows, labels, sample)
+
+    @F.pandas_udf("double")
+    def logit(x):
+        return type(x)(model.logit(np.array(x.tolist(), dtype=float).reshape(len(x), len(FEATURES))))
+
+    own = written(rows.select("doc_id", "host", "path", logit("x").alias("logit")), "evidence")
+    p = chance(F.col("logit"))
+    sums = written(own.groupBy("host", "path").agg(F.sum(p).alias("s"), F.count("*").alias("n"), F.sum(p * p).alias("q")), "paths")
+    mean, of_host, of_path = strengths(sums)
+    paths = sums.join(sums.groupBy("host").agg(F.sum("s").alias("hs"), F.sum("n").alias("hn")), "host").drop("q")
+    s, n, hs, hn = map(F.col, ("s", "n", "hs", "hn"))
+    host = shrunk(hs, hn, F.lit(mean), of_host)
+    without = shrunk(s - p, n - 1, shrunk(hs - p, hn - 1, F.lit(mean), of_host), of_path)
+    score = chance(F.col("logit") + log_odds(without) - log_odds(F.lit(mean)))
+    found = own.join(F.broadcast(paths) if sums.count() <= PATHS else paths, ["host", "path"])
+    return found.select("doc_id", p.alias("evidence"), host.alias("host_posterior"), shrunk(s, n, host, of_path).alias("path_posterior"), score.alias("score"), (F.lit(True) if model.single else score >= keep).alias("keep"))
+
+
+def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """docs without those that the classifier rejects; all columns stay. Rows that repeat an id stay if one of them is kept."""
+    judged = scored(docs, labels, id_col, **how).groupBy("doc_id").agg(F.max("keep").alias("keep"))
+    return without_ids(docs, id_col, written(judged.where(~F.col("keep")).select("doc_id"), "rejected"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
