@@ -6,20 +6,24 @@ under one order of all shingles, two sets of similarity 4/5 or more share one of
 n - ceil(4 n / 5) + 1 shingles of each. Only pairs that are not yet in one component are compared.
 
 Prefixes are made anew from the texts each time they are needed. First only (key, component) is
-counted; keys that lie in two components or more are few, and only their rows are dealt again. A
-pair is first held against parity bitmaps: two sets differ in as many elements at least as their
-bitmaps in bits. Texts travel only where that does not rule a pair out.
+counted; keys that lie in two components or more are few, and only their rows are dealt again, each
+with a parity bitmap: two sets differ in as many elements at least as their bitmaps in bits. A task
+holds the rows of a key and gives no pairs but which components its bitmaps can't tell apart: one row
+for each component it merges, so what comes out is never more than what came in, however large a
+group is. Components that may be one in this way are a cluster; every link lies within a cluster.
+The texts of each cluster are dealt once and compared there, again without pairs already joined.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
@@ -30,6 +34,8 @@ SHINGLE, SEED = 5, 42
 SAMPLE, COMMON = 20_000, 100_000  # the order of shingles is made from so many documents, and holds so many common shingles
 CHUNK = 1024
 BITS = 1 << 16  # of a parity bitmap at most
+ROW_BITS = 1 << 12  # of one that goes with every row of a prefix
+HELD = 1 << 22  # shingles of a task's texts
 Order = tuple[np.ndarray, np.ndarray]
 
 
@@ -54,9 +60,9 @@ def simhash_of(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def parity_of(hashes: np.ndarray) -> bytes:
-    """Of each place of a bitmap whether an odd number of hashes fall on it; about twice as many places as hashes."""
-    n = min(BITS, max(64, 1 << (2 * len(hashes)).bit_length()))
+def parity_of(hashes: np.ndarray, places: int = 2, most: int = BITS) -> bytes:
+    """Of each place of a bitmap whether an odd number of hashes fall on it; about `places` times as many places as hashes."""
+    n = min(most, max(64, 1 << (places * len(hashes)).bit_length()))
     odd = np.bincount((hashes & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -111,20 +117,23 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, th long, node long, fp long, n long, parity binary")
 
 
-def keyed(texts: DataFrame, common: Order, unless: Bits | None = None, only: Bits | None = None, never: Bits | None = None) -> DataFrame:
+def keyed(texts: DataFrame, common: Order, unless: Bits | None = None, only: Bits | None = None, never: Bits | None = None, bitmaps: bool = False) -> DataFrame:
     """texts(th, root, text) -> (key, node, root, n, pos): a row for each shingle of a text's prefix.
 
     root null: the node itself. unless: texts whose th may be in it are left out; only: keys that
-    surely are not in it are; never: keys that may be in it. A task gives equal texts once."""
+    surely are not in it are; never: keys that may be in it. A task gives equal texts once. bitmaps:
+    with a column parity."""
+    names = ["key", "node", "root", "n", "pos"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        names = ["key", "node", "root", "n", "pos"]
         held: list[list[np.ndarray]] = [[] for _ in names]
+        parity: list[bytes] = []
         size = 0
 
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in held], names=names)
+            columns = [pa.array(np.concatenate(x)) for x in held]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(parity, pa.binary())], names=[*names, "parity"]) if bitmaps else pa.RecordBatch.from_arrays(columns, names=names)
 
         for b in batches:
             th = b.column(0).to_numpy()
@@ -143,44 +152,127 @@ def keyed(texts: DataFrame, common: Order, unless: Bits | None = None, only: Bit
                 root = b.column(1)[i].as_py()
                 for c, x in zip(held, (key[pos], np.full(len(pos), node), np.full(len(pos), node if root is None else root), np.full(len(pos), len(s)), pos), strict=True):
                     c.append(x.astype(np.int64))
+                if bitmaps and len(pos):
+                    parity += [parity_of(s, 1, ROW_BITS)] * len(pos)
                 size += len(pos)
-                if size > 50_000:
+                if size > (10_000 if bitmaps else 50_000):
                     yield rows()
-                    held, size = [[] for _ in names], 0
+                    held, parity, size = [[] for _ in names], [], 0
         if size:
             yield rows()
 
-    return texts.select("th", "root", "text").mapInArrow(run, "key long, node long, root long, n long, pos long")
+    return texts.select("th", "root", "text").mapInArrow(run, "key long, node long, root long, n long, pos long" + (", parity binary" if bitmaps else ""))
+
+
+class Bitmaps:
+    """Parity bitmaps of many sets, compared by pairs of places."""
+
+    def __init__(self, parity: list[bytes]):
+        self.size = np.fromiter(map(len, parity), dtype=np.int64, count=len(parity)) // 8
+        self.start = np.cumsum(self.size) - self.size
+        self.words = np.frombuffer(b"".join(parity), dtype=np.uint64)
+
+    def folded(self, at: np.ndarray, size: int) -> np.ndarray:
+        """Each of `at` as `size` words; longer ones are folded."""
+        times, word = self.size[at] // size, np.arange(size)
+        out = self.words[self.start[at][:, None] + word]
+        for k in range(1, int(times.max())):
+            long = times > k
+            out[long] ^= self.words[self.start[at[long]][:, None] + k * size + word]
+        return out
+
+    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many elements the sets i and j differ in at least."""
+        least = np.minimum(self.size[i], self.size[j])
+        out = np.zeros(len(i), dtype=np.int64)
+        for size in np.unique(least).tolist():
+            of = np.flatnonzero(least == size)
+            for part in np.array_split(of, -(-len(of) * size // (1 << 18))):
+                out[part] = np.bitwise_count(self.folded(i[part], size) ^ self.folded(j[part], size)).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def merged(task: np.ndarray, root: np.ndarray, n: np.ndarray, bitmaps: Bitmaps, pos: np.ndarray | None = None, sets: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of roots, at most as many as rows, that join all roots of one task between which a pair of rows may be similar; rows of a task lie together.
+
+    Without sets, by what the sizes, the places of their key and the bitmaps allow; with sets, exactly."""
+    rows = len(task)
+    first = np.flatnonzero(np.r_[True, task[1:] != task[:-1]])
+    of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, rows]))
+    order = np.lexsort((np.arange(rows), root, of))
+    new = np.r_[True, (of[order][1:] != of[order][:-1]) | (root[order][1:] != root[order][:-1])]
+    labels = np.empty(rows, dtype=np.int64)
+    labels[order] = order[new][np.cumsum(new) - 1]  # the first row of the same task and root
+    begun, at, step = np.flatnonzero(labels == np.arange(rows)), np.arange(rows), 0
+    done = np.minimum.reduceat(labels == first[of], first)
+    while True:  # rows with those 1, 2, ... places on, as long as they are of the same task and it isn't one already
+        step += 1
+        at = at[at + step < rows]
+        at = at[(of[at] == of[at + step]) & ~done[of[at]]]
+        if not len(at):
+            break
+        i, j = at, at + step
+        ok = (labels[i] != labels[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
+        if pos is not None:
+            ok &= 9 * (np.minimum(n[i] - pos[i], n[j] - pos[j]) + np.minimum(pos[i], pos[j])) >= 4 * (n[i] + n[j])
+        i, j = i[ok], j[ok]
+        if not len(i):
+            continue
+        ok = 9 * bitmaps.differ(i, j) <= n[i] + n[j]
+        i, j = i[ok], j[ok]
+        if sets is not None:
+            ok = np.fromiter((9 * len(np.intersect1d(sets[x], sets[y], assume_unique=True)) >= 4 * (len(sets[x]) + len(sets[y])) for x, y in zip(i.tolist(), j.tolist(), strict=True)), dtype=bool, count=len(i))
+            i, j = i[ok], j[ok]
+        if len(i):
+            labels = simhash.join_labels(labels, i, j)
+            done = np.minimum.reduceat(labels == first[of], first)
+    child = begun[labels[begun] != begun]
+    return root[child], root[labels[child]]
+
+
+def maybe_one(rows: DataFrame) -> DataFrame:
+    """rows(task, node, root, n, pos, parity) -> pairs of roots (u, v), which join all roots of one task that may have a similar pair. Tasks are of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ["task"], 10_000):
+            task, root, n, pos = (t[c].to_numpy().astype(np.int64) for c in ("task", "root", "n", "pos"))
+            u, v = merged(task, root, n, Bitmaps(t["parity"].to_pylist()), pos)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return rows.select("task", "root", "n", "pos", "parity").repartition("task").sortWithinPartitions("task").mapInArrow(run, "u long, v long")
 
 
-def similar_pairs(rows: DataFrame, group: str) -> DataFrame:
-    """rows(group, node, root, n, pos) -> pairs (u, v) of one group and different roots that may be similar. Groups are of bounded size."""
+def surely_one(rows: DataFrame) -> DataFrame:
+    """rows(task, root, text) -> pairs of roots (u, v), which join all roots of one task that have a pair of texts of similarity 4/5 or more. Tasks are of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, [group]):
-            task, node, root, n, pos = (t[c].to_numpy().astype(np.int64) for c in (group, "node", "root", "n", "pos"))
-            at, step = np.arange(len(task)), 0
-            while True:  # rows with those 1, 2, ... places on, as long as they are of the same task
-                step += 1
-                at = at[at + step < len(task)]
-                at = at[task[at] == task[at + step]]
-                if not len(at):
-                    break
-                i, j = at, at + step
-                shared = np.minimum(n[i] - pos[i], n[j] - pos[j]) + np.minimum(pos[i], pos[j])
-                ok = (root[i] != root[j]) & (9 * shared >= 4 * (n[i] + n[j])) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
-                if ok.any():
-                    both = np.unique(np.sort(np.stack([node[i[ok]], node[j[ok]]]), axis=0), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["u", "v"])
-
-    return rows.select(group, "node", "root", "n", "pos").repartition(group).sortWithinPartitions(group).mapInArrow(run, "u long, v long")
-
-
-def chunked(rows: DataFrame, often: DataFrame, chunk: int) -> DataFrame:
-    """rows of the keys in often(key, c) with task in place of key: a key's rows are cut into chunks, and each pair of chunks is a task."""
-    placed = rows.join(often.select("key", F.ceil(F.col("c") / chunk).cast("int").alias("parts")), "key").withColumn("mine", salt_of(F.col("node"), F.col("parts")))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.least(x, F.col("mine")) * F.col("parts") + F.greatest(x, F.col("mine")))
-    return placed.select("node", "root", "n", "pos", "key", F.explode(pairs).alias("pair")).withColumn("task", F.xxhash64("key", "pair"))
+        for t in whole_groups((b.slice(k, 250) for b in batches for k in range(0, b.num_rows, 250)), ["task"], 1000):
+            sets = [shingles(x.as_py()) for x in t["text"]]
+            n = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+            u, v = merged(t["task"].to_numpy(), t["root"].to_numpy(), n, Bitmaps([parity_of(s) for s in sets]), sets=sets)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return rows.select("task", "root", "text").repartition("task").sortWithinPartitions("task").mapInArrow(run, "u long, v long")
+
+
+def dealt(rows: DataFrame, group: str, parts_of: Callable[[Column, Column], Column]) -> DataFrame:
+    """rows(group, node, root, n, ...) with a task: any two rows of one group and different roots meet in one, groups of one root in none.
+
+    A group's largest root is cut into parts_of(rows, sum of n) parts, its other rows too. Each part of
+    the one meets each part of the others, and these each other: where all but a few rows are of one
+    root already, that is about one task a row."""
+    by_root = rows.groupBy(group, "root").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    by_group = by_root.groupBy(group).agg(F.max_by("root", F.struct("c", "root")).alias("large"), F.max(F.struct("c", "root", "w"))["w"].alias("wl"), F.max("c").alias("cl"), F.sum("c").alias("c"), F.sum("w").alias("w"))
+    cut = by_group.where("c > cl").select(group, "large", parts_of(F.col("cl"), F.col("wl")).alias("pl"), parts_of(F.col("c") - F.col("cl"), F.col("w") - F.col("wl")).alias("po"))
+    is_large = F.col("root") == F.col("large")
+    placed = rows.join(cut, group).withColumn("mine", F.when(is_large, salt_of(F.col("node"), F.col("pl"))).otherwise(salt_of(F.col("node"), F.col("po"))))
+    upto = lambda parts: F.sequence(F.lit(0), F.col(parts) - 1)
+    large = F.transform(upto("po"), lambda x: F.xxhash64(F.lit(0), group, "mine", x))
+    other = F.concat(
+        F.transform(upto("pl"), lambda x: F.xxhash64(F.lit(0), group, x, "mine")),
+        F.transform(upto("po"), lambda x: F.xxhash64(F.lit(1), group, F.least(x, F.col("mine")), F.greatest(x, F.col("mine")))),
+    )
+    return placed.withColumn("task", F.explode(F.when(is_large, large).otherwise(other))).drop("large", "pl", "po", "mine")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -236,9 +328,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chun
     rows = written(sketches(base), "near-sketches")
     nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("th").alias("th"), F.first("parity").alias("parity")), "near-nodes")
 
-    def checked(pairs: Callable[[], DataFrame]) -> tuple[DataFrame, DataFrame, Bits]:
+    def checked(pairs: DataFrame) -> tuple[DataFrame, DataFrame, Bits]:
         """(links, texts met (th, node or null, text), which th those are)."""
-        found = pairs().where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        found = pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
         found = found.join(side("u"), "u").join(side("v"), "v").where("5 * least(nu, nv) >= 4 * greatest(nu, nv)")
         found = written(found.select("u", "v", "nu", "nv", "pu", "pv").mapInArrow(not_ruled_out, "u long, v long"), "near-pairs")
@@ -254,26 +346,55 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chun
         few = simhash.links(rep.select("fp")).join(rep.toDF("u", "ru"), "u").join(rep.toDF("v", "rv"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
         return same.unionByName(few)
 
-    first, met, bits = checked(near_bits)
+    first, met, bits = checked(near_bits())
     common = common_shingles(base, sample)
     met = written(met.join(components(first), "node", "left"), "near-met")
 
-    def all_keys(only: Bits | None = None, never: Bits | None = None) -> DataFrame:
+    def all_keys(only: Bits | None = None, never: Bits | None = None, bitmaps: bool = False) -> DataFrame:
         others = base.withColumn("root", F.lit(None).cast("long"))
-        return keyed(others, common, bits, only, never).unionByName(keyed(met, common, None, only, never))
+        return keyed(others, common, bits, only, never, bitmaps).unionByName(keyed(met, common, None, only, never, bitmaps))
 
     counts = all_keys().groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("c"))
     met_again = written(counts.select("key", "c", (F.col("a") < F.col("b")).alias("shared")).where(f"shared or c > {chunk}"), "near-shared")
 
-    def rest() -> DataFrame:
+    def rooted(rows: DataFrame, *links: DataFrame) -> DataFrame:
+        """rows(root, ...) with the roots that the links join as one."""
+        found = components(reduce(DataFrame.unionByName, links)).toDF("root", "__root")
+        return rows.join(found, "root", "left").withColumn("root", F.coalesce("__root", "root")).drop("__root")
+
+    def maybe() -> DataFrame:
+        """Pairs of roots whose components hold every link that is left."""
         shared, often = met_again.where("shared"), met_again.where(F.col("c") > chunk)
         if often.isEmpty():
-            return similar_pairs(all_keys(Bits.of(shared, "key")), "key")
+            return written(maybe_one(all_keys(Bits.of(shared, "key"), None, True).withColumn("task", F.col("key"))), "near-maybe")
         hot = Bits.of(often, "key")  # of one component or of more: none of them may come to a task whole
-        cold = similar_pairs(all_keys(Bits.of(shared.where(F.col("c") <= chunk), "key"), hot), "key")
-        return cold.unionByName(similar_pairs(chunked(all_keys(hot), often.where("shared"), chunk), "task"))
-
-    links = first.unionByName(checked(rest)[0])
+        cold = all_keys(Bits.of(shared.where(F.col("c") <= chunk), "key"), hot, True).withColumn("task", F.col("key"))
+        many = all_keys(hot, None, True).join(often.where("shared").select("key", F.ceil(F.col("c") / chunk).cast("int").alias("parts")), "key")
+        many = written(many.dropDuplicates(["key", "node"]), "near-often")
+        part = many.withColumn("task", F.xxhash64("key", salt_of(F.xxhash64("key", "node"), F.col("parts")))).drop("parts")
+        found = written(maybe_one(cold.unionByName(part)), "near-maybe")
+        rest = dealt(rooted(many.drop("parts"), found), "key", lambda c, w: F.ceil(c / chunk).cast("int"))
+        return found.unionByName(written(maybe_one(rest), "near-maybe"))
+
+    def surely() -> DataFrame:
+        """Pairs of roots that join all roots with a link between them: all texts of a cluster are compared."""
+        parts_of = lambda c, w: F.ceil(F.greatest(c / chunk, w / HELD)).cast("int")
+        cluster = components(maybe()).toDF("root", "cluster")
+        cluster = cluster.unionByName(cluster.select(F.col("cluster").alias("root"), "cluster").distinct())
+        of_node = nodes.select("node", "th", "n").join(components(first), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        members = written(of_node.join(cluster, "root"), "near-members")
+        parts = members.groupBy("cluster").agg(parts_of(F.count("*"), F.sum("n")).alias("parts"))
+        texts = once(base, Bits.of(members, "th")).join(members.join(parts, "cluster"), "th").select("cluster", "node", "root", "n", "parts", "text")
+        texts = written(texts, "near-texts")
+        in_parts = lambda rows, seed: rows.withColumn("task", F.xxhash64("cluster", salt_of(F.col("node"), F.col("parts"), seed)))
+        found = [written(surely_one(in_parts(texts, 7)), "near-links")]
+        large = texts.where("parts > 1")
+        if not large.isEmpty():  # what is alike throughout is joined by parts that are cut in two ways; then each row meets what it isn't joined with
+            found.append(written(surely_one(in_parts(rooted(large, *found), 8)), "near-links"))
+            found.append(written(surely_one(dealt(rooted(large, *found), "cluster", parts_of)), "near-links"))
+        return reduce(DataFrame.unionByName, found)
+
+    links = first.unionByName(surely())
     joined = nodes.select("node", "least").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.select("doc_id", "node").join(joined.join(lowest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
