@@ -238,3 +238,35 @@ def test_slices_and_counts(spark):
     c = calls.calls(probs)
     assert {(r.sample_idx, r.gt1, r.gt2, r.ds) for r in c.collect()} == {(0, 0, 1, 1.01), (1, 1, 0, 1.0)}
     assert tuple(calls.allele_counts(c).first()) == (0, 2, 4, 0.5)
+
+
+def test_best_runs_equal_the_ranking_of_all_runs(spark):
+    """Ties, copies, runs longer than a word of sites, and panels of one block and of several."""
+    key = lambda df: sorted(map(tuple, df.collect()))
+    for seed, (n, least, flip) in enumerate([(31, 4, 0.5), (200, 70, 0.01)]):
+        rng = random.Random(seed)
+        base = [rng.choice("01") for _ in range(n)]
+        some = lambda count, odd: [(2 * i + odd, "".join("10"[int(c)] if rng.random() < flip else c for c in base)) for i in range(count)]
+        rows = some(30, 0)
+        rows += [(1001 + i, x) for i, (_, x) in enumerate(rows[:10])]
+        p, t = spark.createDataFrame(rows, "hap int, bits string"), spark.createDataFrame(some(8, 1), "hap int, bits string")
+        table = np.array([[int(c) for c in x] for _, x in rows])
+        found = []
+        for hap, x in t.collect():
+            row, start, length = match.run_lengths(table, np.array([int(c) for c in x]), least)
+            found += [(hap, rows[r][0], s, k) for r, s, k in zip(row.tolist(), start.tolist(), length.tolist(), strict=True)]
+        assert key(match.runs(p, t, least)) == sorted(found) != []
+        forward = match.best_forward(spark.createDataFrame(found, "target_hap int, ref_hap int, start int, len int"), p, t, 4)
+        for size in (match.BLOCK_BYTES, 700):
+            assert key(match.top_forward(p, t, least, 4, size)) == key(forward) != []
+            assert key(match.top_backward(p, t, least, 4, 2, size)) == key(match.best_backward(forward, 2)) != []
+
+
+def test_best_runs_leave_most_of_a_large_panel_unmade():
+    """Of 4,096 haplotypes few more runs are looked at than are kept."""
+    rng = np.random.default_rng(0)
+    words = lambda count, fill: np.packbits(np.c_[rng.integers(0, 2, (count, 40)), np.full((count, 24), fill)], axis=1).view(">u8").T.astype(np.uint64)
+    block = match.Block(np.arange(4096), words(4096, 1), np.arange(8), words(8, 0), 40, 5)
+    every = sum(len(f.of) for f in block.met(10, slice(0, 8)))
+    looked = sum(len(f.of) for f in block.met(10, slice(0, 8), 10))
+    assert 8 * 10 <= looked < 8 * 45 < every
