@@ -87,11 +87,15 @@ def file_stats(text: DataFrame) -> DataFrame:
     return got.join(declared, "chrom", "left").select("chrom", "n_records", "last_pos", length.alias("length"))
 
 
-def called(field: Column, fmt: Column) -> Column:
-    """The GT part of a sample field as an array of allele codes, '/' read as '|'; null where the record has no GT."""
+def called(fields: Column, fmt: Column) -> Column:
+    """The GT part of each sample field as an array of allele codes, '/' read as '|'; nulls where the record has no GT.
+
+    The place of GT is laid beside each field: a function of an array's elements that named a column of
+    the record would have the record's line split again for every one of them."""
     at = F.array_position(F.split(fmt, ":"), "GT").cast("int")
-    gt = F.when(at > 0, F.get(F.split(field, ":"), at - 1))
-    return F.split(F.regexp_replace(gt, "/", "|"), r"\|")
+    placed = F.arrays_zip(fields.alias("field"), F.array_repeat(at, F.size(fields)).alias("at"))
+    gt = lambda x: F.when(x["at"] > 0, F.get(F.split(x["field"], ":"), x["at"] - 1))
+    return F.transform(placed, lambda x: F.split(F.regexp_replace(gt(x), "/", "|"), r"\|"))
 
 
 def genotypes(rows: DataFrame) -> DataFrame:
@@ -99,7 +103,7 @@ def genotypes(rows: DataFrame) -> DataFrame:
 
     A missing code is allele 0 with the mask set. A haploid code counts for both strands where every
     sample of the record is haploid; mixed ploidy is an error."""
-    g = rows.withColumn("codes", F.transform("fields", lambda x: called(x, F.col("format")))).where(F.size("fields") > 0).where(F.get("codes", F.lit(0)).isNotNull())
+    g = rows.withColumn("codes", called(F.col("fields"), F.col("format"))).where(F.size("fields") > 0).where(F.get("codes", F.lit(0)).isNotNull())
     least, most = F.array_min(F.transform("codes", lambda x: F.size(x))), F.array_max(F.transform("codes", lambda x: F.size(x)))
     g = g.withColumn("codes", F.when((least != most) | (most > 2), F.raise_error(F.concat(F.lit("mixed ploidy at "), F.col("pos")))).otherwise(F.col("codes")))
     g = g.select("chrom", "pos", "ref", "alt", "allele_no", F.posexplode("codes").alias("sample_idx", "pair"))

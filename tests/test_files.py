@@ -2,11 +2,13 @@
 
 import json
 import random
+import time
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from strandlake.functions.assembly import chromosome_length
 from strandlake.operators import calls, match, select, weights
@@ -270,3 +272,14 @@ def test_best_runs_leave_most_of_a_large_panel_unmade():
     every = sum(len(f.of) for f in block.met(10, slice(0, 8)))
     looked = sum(len(f.of) for f in block.met(10, slice(0, 8), 10))
     assert 8 * 10 <= looked < 8 * 45 < every
+
+
+def test_genotypes_take_time_by_samples_not_by_their_square(spark):
+    """A record's line is split a bounded number of times, however many samples it has."""
+    n, k = 3000, 12
+    line = ["20", "5", "x", "A", "C", ".", "PASS", ".", "DP:GT", *["7:0|1", "7:1/1", "7:.|0"] * (n // 3)]
+    text = spark.createDataFrame([("\t".join(line),)] * k, "value string")
+    start = time.time()
+    got = {(r.sample_idx % 3, r.h, r.allele, r.is_missing): r.n for r in vcf.genotypes(vcf.split_alleles(vcf.records(text))).groupBy((F.col("sample_idx") % 3).alias("sample_idx"), "h", "allele", "is_missing").agg(F.count("*").alias("n")).collect()}
+    assert got == {(0, 0, 0, False): 12000, (0, 1, 1, False): 12000, (1, 0, 1, False): 12000, (1, 1, 1, False): 12000, (2, 0, 0, True): 12000, (2, 1, 0, False): 12000}
+    assert time.time() - start < 30  # by the square it took minutes
