@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import short_number
+from ..functions.tables import met
 
 
 def calls(probs: DataFrame) -> DataFrame:
@@ -28,7 +29,7 @@ def records(called: DataFrame, sites: DataFrame, typed: DataFrame, own: DataFram
     dose and probabilities, flagged IMP. AC and AF are those of the imputed calls at every site. An
     empty original id falls back to the variant id."""
     text = F.concat_ws(":", F.concat_ws("|", "gt1", "gt2"), short_number(F.col("ds")), short_number(F.col("ap1")), short_number(F.col("ap2")))
-    rows = called.select("site", "sample_idx", text.alias("text")).join(own, ["site", "sample_idx"], "left").join(typed.select("site", F.lit(True).alias("typed")).distinct(), "site", "left")
+    rows = called.select("site", "sample_idx", text.alias("text")).join(met(own), ["site", "sample_idx"], "left").join(typed.select("site", F.lit(True).alias("typed")).distinct(), "site", "left")
     shown = F.when(F.col("typed"), F.coalesce("gt", F.lit("./."))).otherwise(F.col("text"))
     lines = rows.groupBy("site").agg(F.max(F.coalesce("typed", F.lit(False))).alias("typed"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sample_idx", shown.alias("x")))), lambda x: x["x"]), "\t").alias("samples"))
     af = F.when(F.col("ac") % F.col("an") == 0, F.format_string("%d", (F.col("ac") / F.col("an")).cast("long"))).otherwise(F.col("af").cast("string"))

@@ -8,12 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import met
+
 EPS, TINY = 1e-8, 1e-15
 
 
 def paired(imputed: DataFrame, truth: DataFrame) -> DataFrame:
     """(chunk, variant, sample_idx, h, x, y)."""
-    return imputed.withColumnRenamed("allele", "x").join(truth.select("variant", "sample_idx", "h", F.col("allele").alias("y")), ["variant", "sample_idx", "h"]).select("chunk", "variant", "sample_idx", "h", "x", "y")
+    return imputed.withColumnRenamed("allele", "x").join(met(truth.select("variant", "sample_idx", "h", F.col("allele").alias("y"))), ["variant", "sample_idx", "h"]).select("chunk", "variant", "sample_idx", "h", "x", "y")
 
 
 def doses(pairs: DataFrame) -> DataFrame:
@@ -86,7 +88,7 @@ def by_sample(pairs: DataFrame, phased: bool = True) -> DataFrame:
     a = pairs.groupBy("chunk", "sample_idx").agg((F.sum((F.col("x") == F.col("y")).cast("double")) / 2).alias("right"), F.countDistinct("variant").alias("n_var"))
     num, den = _moments(F.count("*"))
     d = doses(pairs).groupBy("chunk", "sample_idx").agg((num + TINY).alias("num"), (den + TINY).alias("den"))
-    all_ = c.join(a, ["chunk", "sample_idx"]).join(d, ["chunk", "sample_idx"])
+    all_ = c.join(met(a), ["chunk", "sample_idx"]).join(met(d), ["chunk", "sample_idx"])
     s = all_.groupBy("sample_idx").agg(*[F.sum(x).alias(x) for x in ("right", "n_var", "num", "den", "tp", "tn", "fp", "fn")])
     prec = F.round(F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0)), 6)
     rec = F.round(F.col("tp") / F.nullif(F.col("tp") + F.col("fn"), F.lit(0)), 6)

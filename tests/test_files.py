@@ -283,3 +283,14 @@ def test_genotypes_take_time_by_samples_not_by_their_square(spark):
     got = {(r.sample_idx % 3, r.h, r.allele, r.is_missing): r.n for r in vcf.genotypes(vcf.split_alleles(vcf.records(text))).groupBy((F.col("sample_idx") % 3).alias("sample_idx"), "h", "allele", "is_missing").agg(F.count("*").alias("n")).collect()}
     assert got == {(0, 0, 0, False): 12000, (0, 1, 1, False): 12000, (1, 0, 1, False): 12000, (1, 1, 1, False): 12000, (2, 0, 0, True): 12000, (2, 1, 0, False): 12000}
     assert time.time() - start < 30  # by the square it took minutes
+
+
+def test_tables_that_grow_are_not_broadcast(spark):
+    """However small they are: on 0.1 GB they were small enough to be broadcast and too large for the driver."""
+    rows = spark.createDataFrame([(t, r, s, 5) for t in (0, 1) for r in range(4) for s in range(0, 12, 6)], "target_hap int, ref_hap int, start int, len int")
+    chosen, cut = select.selected(rows, 12, 9)
+    rates = spark.createDataFrame([(n, 0.1, 0.1) for n in range(12)], "n int, before double, after double")
+    for df in (chosen, weights.pruned(chosen, F.broadcast(rates), cut, 12)):
+        assert df.count()
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join ") - plan.count("rightHint=(strategy=merge)") == plan.count("rightHint=(strategy=broadcast)")
